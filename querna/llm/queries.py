@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import jaccard_join as op5
+from . import quality_rules as op8
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_jaccard_join": op5.op5_jaccard_join,
+        "op8_quality_rules": op8.op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": op5.OP5_SQL}
+    return {"op5_jaccard_join": op5.OP5_SQL, "op8_quality_rules": op8.OP8_SQL}
