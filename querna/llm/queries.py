@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import jaccard_join as op5
 from . import quality_rules as op8
+from . import suffix_dedup as op10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_jaccard_join": op5.op5_jaccard_join,
         "op8_quality_rules": op8.op8_quality_rules,
+        "op10_suffix_dedup": op10.op10_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": op5.OP5_SQL, "op8_quality_rules": op8.OP8_SQL}
+    return {"op5_jaccard_join": op5.OP5_SQL, "op8_quality_rules": op8.OP8_SQL, "op10_suffix_dedup": op10.OP10_SQL}
