@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import jaccard_join as op5
+from . import pii as op9
 from . import quality_rules as op8
 from . import suffix_dedup as op10
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_jaccard_join": op5.op5_jaccard_join,
         "op8_quality_rules": op8.op8_quality_rules,
+        "op9_pii": op9.op9_pii,
         "op10_suffix_dedup": op10.op10_suffix_dedup,
     }
 
