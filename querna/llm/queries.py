@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import jaccard_join as op5
+from . import packing as op2
 from . import pii as op9
 from . import quality_rules as op8
 from . import suffix_dedup as op10
@@ -14,6 +17,8 @@ from . import suffix_dedup as op10
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op2_packing": op2.op2_packing,
         "op5_jaccard_join": op5.op5_jaccard_join,
         "op8_quality_rules": op8.op8_quality_rules,
         "op9_pii": op9.op9_pii,
