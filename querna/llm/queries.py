@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import jaccard_join as op5
+from . import line_crf as op1
 from . import packing as op2
 from . import pii as op9
 from . import quality_rules as op8
@@ -18,6 +19,7 @@ from . import suffix_dedup as op10
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
+        "op1_line_crf": op1.op1_line_crf,
         "op2_packing": op2.op2_packing,
         "op5_jaccard_join": op5.op5_jaccard_join,
         "op8_quality_rules": op8.op8_quality_rules,
