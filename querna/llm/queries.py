@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from . import bloom_lm as op4
 from . import jaccard_join as op5
 from . import line_crf as op1
 from . import packing as op2
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": corpus_pipeline.run,
         "op1_line_crf": op1.op1_line_crf,
         "op2_packing": op2.op2_packing,
+        "op4_bloom_lm": op4.op4_bloom_lm,
         "op5_jaccard_join": op5.op5_jaccard_join,
         "op8_quality_rules": op8.op8_quality_rules,
         "op9_pii": op9.op9_pii,
