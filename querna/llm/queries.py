@@ -14,6 +14,8 @@ from . import line_crf as op1
 from . import packing as op2
 from . import pii as op9
 from . import quality_rules as op8
+from . import sentencepiece_scan as op6
+from . import sharding as op7
 from . import suffix_dedup as op10
 
 
@@ -24,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2.op2_packing,
         "op4_bloom_lm": op4.op4_bloom_lm,
         "op5_jaccard_join": op5.op5_jaccard_join,
+        "op6_sentencepiece": op6.op6_sentencepiece,
+        "op7_sharding": op7.op7_sharding,
         "op8_quality_rules": op8.op8_quality_rules,
         "op9_pii": op9.op9_pii,
         "op10_suffix_dedup": op10.op10_suffix_dedup,
