@@ -11,6 +11,7 @@ import corpus_pipeline
 from . import bloom_lm as op4
 from . import jaccard_join as op5
 from . import line_crf as op1
+from . import multi_index as op3
 from . import packing as op2
 from . import pii as op9
 from . import quality_rules as op8
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": corpus_pipeline.run,
         "op1_line_crf": op1.op1_line_crf,
         "op2_packing": op2.op2_packing,
+        "op3_multi_index": op3.op3_multi_index,
         "op4_bloom_lm": op4.op4_bloom_lm,
         "op5_jaccard_join": op5.op5_jaccard_join,
         "op6_sentencepiece": op6.op6_sentencepiece,
