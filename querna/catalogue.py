@@ -11,10 +11,10 @@ from querna import constants as K
 from querna.functions import analysis, fuzzy, geo, nlp, ranking
 from querna.functions.porter import stem_tokens
 from querna.operators import index as I
-from querna.operators import monitor, schema, search, suggest, vector
+from querna.operators import monitor, schema, search, suggest, textsearch, vector
 from querna.plans import predicates as P
 from querna.plans import query as Q
-from querna.sources import store
+from querna.sources import catalog, store, synthetic
 
 Run = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Run] = {}
@@ -804,3 +804,170 @@ def q_stream_index_batches(spark, d):
     e.repartition(4).write.parquet(f"{at}/in")
     ingest.index_batches(ingest.read(spark, f"{at}/in", e.schema, 2), f"{at}/out", f"{at}/checkpoint", ["name"]).awaitTermination()
     return ingest.current(spark, f"{at}/out").select("document_id", "name", "ts")
+
+
+# --- more full-text forms ---------------------------------------------------------------------------------
+
+
+_BOTH = f"list_concat({_std('name')}, {_std('category_name')})"
+
+
+@_query(f"select document_id from {_PARTS} where list_has_all({_BOTH}, ['promo', 'ring'])")
+def q_fulltext_all(spark, d):
+    return parts(spark, d).where(textsearch.all_terms(["name", "category_name"], "promo ring")).select("document_id")
+
+
+@_query(f"select document_id from {_PARTS} where list_has_any({_BOTH}, ['promo', 'anvil'])")
+def q_fulltext_all_or_any(spark, d):
+    return parts(spark, d).where(textsearch.all_or_any(["name", "category_name"], "promo anvil")).select("document_id")
+
+
+@_query(f"select document_id from {_PARTS} where len(list_filter({_BOTH}, lambda x: starts_with(x, 'wid'))) > 0")
+def q_fulltext_prefix(spark, d):
+    return parts(spark, d).where(textsearch.prefix_term(["name", "category_name"], "wid")).select("document_id")
+
+
+@_query(f"select document_id, case when lower(name) = 'red ring' then 1000.0::double when starts_with(lower(name), 'red ring') then 500.0::double else 100.0::double end as score from {_PARTS} where starts_with(lower(name), 'red ring') or list_has_all({_BOTH}, ['red', 'ring'])")
+def q_prefix_or_fulltext(spark, d):
+    return textsearch.prefix_or_text(parts(spark, d), "red ring", F.col("name"), ["name", "category_name"]).select("document_id", "score")
+
+
+@_query(f"select document_id, round(case when lower(name) = 'small ring' then 1000 when starts_with(lower(name), 'small ring') then 500 else len(list_filter({_BOTH}, lambda x: x in ('small', 'ring'))) / len({_BOTH}) end, 6)::double as score from {_PARTS} where starts_with(lower(name), 'small ring') or list_has_all({_BOTH}, ['small', 'ring'])")
+def q_search_boosted(spark, d):
+    return textsearch.boosted(parts(spark, d), "small ring", F.col("name"), ["name", "category_name"]).select("document_id", _r(F.col("score")).alias("score"))
+
+
+@_query(f"select document_id, round(len(list_filter({_std('text')}, lambda x: x in ('thea', 'oner'))) / len({_std('text')}), 6) as score from (select doc_id as document_id, text from documents) where list_has_any({_std('text')}, ['thea', 'oner'])")
+def q_search_any_ranked(spark, d):
+    hit, _ = textsearch.ranked_any(_t(spark, d, "documents").withColumnRenamed("doc_id", "document_id"), "thea oner", ["text"])
+    return hit.select("document_id", _r(F.col("score")).alias("score"))
+
+
+@_query(f"select document_id, 0.5 as score from {_PARTS} where contains(lower(name), 'bolt') or contains(lower(category_name), 'bolt') order by lower(name) = 'bolt' desc, starts_with(lower(name), 'bolt') desc, document_id limit 10")
+def q_constant_fallback(spark, d):
+    return textsearch.constant_fallback(parts(spark, d), "bolt", F.col("name"), F.col("category_name")).select("document_id", F.col("score").cast("decimal(2,1)").alias("score"))
+
+
+@_query(f"select document_id, text as content from {_FLAGGED} where is_active and is_verified and not is_blocked and lang = 'de'")
+def q_active_documents(spark, d):
+    return textsearch.valid_results(textsearch.active_documents(flagged(spark, d)).where("lang = 'de'").select("document_id", F.col("text").alias("content")), "content")
+
+
+@_query("select event_id, cast(json_extract(props, '$.k') as bigint) as k, event_type || ':' || json_extract_string(props, '$.k') as label from events")
+def q_json_projection(spark, d):
+    v = F.parse_json("props")
+    return _t(spark, d, "events").select("event_id", F.variant_get(v, "$.k", "bigint").alias("k"), F.concat_ws(":", "event_type", F.variant_get(v, "$.k", "string")).alias("label"))
+
+
+@_query("select event_id, case when ts > timestamp '2024-01-20 00:00:00' - interval 24 hours then case when value > 30 then 'slow today' else 'today' end when value > 30 then 'slow' else 'old' end as state from events")
+def q_admin_case(spark, d):
+    new = F.col("ts") > F.lit("2024-01-20 00:00:00").cast("timestamp") - F.expr("INTERVAL 24 HOURS")
+    return _t(spark, d, "events").select("event_id", F.when(new, F.when(F.col("value") > 30, "slow today").otherwise("today")).when(F.col("value") > 30, "slow").otherwise("old").alias("state"))
+
+
+@_query("select conv_id, turn, w as word from (select conv_id, turn, unnest(case when role = 'user' then string_split(text, ' ')[1:3] else [null] end) as w from conversations)")
+def q_lateral_outer(spark, d):
+    c = _t(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.explode_outer(F.when(F.col("role") == "user", F.slice(F.split("text", " "), 1, 3))).alias("word"))
+
+
+@_query(f"select document_id, field, term, cast(2 * tf as bigint) as tf from {_POST}")
+def q_postings_merge(spark, d):
+    p = I.postings(parts(spark, d), ["name", "category_name"])
+    return I.merge_postings(p, p).select("document_id", "field", "term", "tf")
+
+
+@_query(f"select document_id, field, term, tf from {_POST} where document_id not in (select p_partkey from part where p_size < 25)")
+def q_postings_remove(spark, d):
+    p = I.postings(parts(spark, d), ["name", "category_name"])
+    return I.remove_documents(p, parts(spark, d).where("size < 25")).select("document_id", "field", "term", "tf")
+
+
+@_query(f"select field, term, count(*) as df from {_POST} group by 1, 2")
+def q_term_df_by_field(spark, d):
+    return I.term_stats(I.postings(parts(spark, d), ["name", "category_name"]), per_field=True)
+
+
+@_query(r"select doc_id, len(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) as words from documents")
+def q_field_word_count(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.size(analysis.whitespace_tokens(F.col("text"))).cast("long").alias("words"))
+
+
+@_query("select p_partkey, cast(p_retailprice as varchar) as price_text, trim(p_name) || ' ' || p_type as content from part where p_size = 7")
+def q_field_text(spark, d):
+    p = _t(spark, d, "part").where("p_size = 7")
+    return p.select("p_partkey", analysis.field_text(F.col("p_retailprice"), "double").alias("price_text"), analysis.field_text(F.array("p_name", "p_type"), "array<string>").alias("content"))
+
+
+@_query("select c_custkey, case when c_acctbal < 0 then ['c_acctbal: min 0'] else [] end || case when c_custkey % 5 = 0 then ['note: required'] else [] end as errors from customer")
+def q_document_validation(spark, d):
+    c = _t(spark, d, "customer").withColumn("note", F.when(F.col("c_custkey") % 5 != 0, "x"))
+    return schema.validate(c, {"c_acctbal": {"min": 0}, "note": {"required": True}}).select("c_custkey", "errors")
+
+
+@_query(f"select term, case when term = 'bolt' then 'exact' when starts_with(term, 'bolt') then 'prefix' when {_sim(chr(39) + 'bolt' + chr(39), 'term')} >= 0.3 then 'similarity' when contains(term, 'bolt') then 'substring' end as kind from {_TERMS} where contains(term, 'bolt') or {_sim(chr(39) + 'bolt' + chr(39), 'term')} >= 0.3")
+def q_match_type(spark, d):
+    t = terms(spark, d).where(F.col("term").contains("bolt") | (fuzzy.similarity(F.lit("bolt"), F.col("term")) >= 0.3))
+    return t.select("term", fuzzy.match_type(F.lit("bolt"), F.col("term")).alias("kind"))
+
+
+@_query()
+def q_relevance_first(spark, d):
+    t = F.col("term")
+    return terms(spark, d).select("term", fuzzy.relevance_first_score(F.lit("bold"), t).alias("score"), fuzzy.best_word_score(F.lit("bold"), t).alias("best_word"))
+
+
+@_query(f"select count(*) as keys, count(distinct term) as terms from (select distinct term, k from (select term, unnest(list_concat([term], list_transform(range(1, length(term) + 1), lambda i: term[1:i - 1] || term[i + 1:]))) as k from {_TERMS} where length(term) > 1))")
+def q_symspell_stats(spark, d):
+    return suggest.symspell_index(terms(spark, d), 1).agg(F.count("*").alias("keys"), F.count_distinct("term").alias("terms"))
+
+
+@_query(f"select name, freq from (select name, freq, row_number() over (partition by lower(name) order by freq desc, name) as n from {_NAMES}) where n = 1 and name not in ('red ring') and not contains(name, '@')")
+def q_valid_terms(spark, d):
+    t = suggest.first_wins(names(spark, d).withColumnRenamed("name", "term"), [F.desc("freq"), F.asc("term")])
+    return t.where(fuzzy.is_valid_term(F.col("term")) & (F.col("term") != "red ring")).withColumnRenamed("term", "name")
+
+
+@_query(f"select document_id, round(1 - m / 5000, 6) as location_score from (select document_id, {_h('lat', 'lng', '6.5083', '3.3833')} as m from {_PLACES}) where m <= 5000")
+def q_geo_filter(spark, d):
+    x = geo.filter_by_location(places(spark, d), geo.parse_location("cafes in yaba"))
+    return x.select("document_id", _r(F.col("location_score")).alias("location_score"))
+
+
+@_query(f"select document_id, case when document_id % 3 = 0 then lat when document_id % 3 = 1 then lat + 1 end as lat, case when document_id % 3 = 0 then lng when document_id % 3 = 1 then lng + 1 end as lng from {_PLACES}")
+def q_location_extract(spark, d):
+    p, k = places(spark, d), F.col("document_id") % 3
+    x = p.select("document_id", F.when(k == 0, F.col("lat").cast("string")).otherwise("0").alias("a"), F.when(k == 0, F.col("lng").cast("string")).alias("b"), F.when(k == 1, F.array(F.col("lng") + 1, F.col("lat") + 1)).alias("pair"))
+    at = geo.extract_location(F.col("a"), F.col("b"), F.col("pair"))
+    return x.select("document_id", at["lat"].alias("lat"), at["lng"].alias("lng"))
+
+
+@_query("select q, kind from (values ('best hotels', 'business_type'), ('shops here', 'location_based'), ('where can i find a quiet place to read books today', 'semantic'), ('bolt', 'default')) t(q, kind)")
+def q_query_type(spark, d):
+    x = spark.createDataFrame([("best hotels", False), ("shops here", True), ("where can i find a quiet place to read books today", False), ("bolt", False)], "q string, at boolean")
+    return x.select("q", nlp.query_type(F.col("q"), F.col("at")).alias("kind"))
+
+
+@_query("select count(*) as rows, count(distinct index_name) as indices, true as consistent from (select unnest(range(500)), 'businesses' as index_name)")
+def q_synthetic_catalog(spark, d):
+    docs = synthetic.businesses(spark, 500)
+    c = catalog.reconcile(catalog.create(catalog.empty(spark), "businesses"), docs)
+    return docs.agg(F.count("*").alias("rows"), F.count_distinct("index_name").alias("indices")).crossJoin(c.select((F.col("document_count") == 500).alias("consistent")))
+
+
+@_query("select date_trunc('minute', ts) as minute, event_type, count(*) as events from events group by 1, 2")
+def q_event_rates(spark, d):
+    from querna.streaming import ingest
+
+    return ingest.event_rates(_t(spark, d, "events")).select(F.col("window.start").alias("minute"), "event_type", "events")
+
+
+@_query("select round(avg(value), 6) as average from (select value from events order by ts desc, event_id desc limit 100)")
+def q_last_jobs_average(spark, d):
+    return monitor.last_average(_t(spark, d, "events"), "value", [F.desc("ts"), F.desc("event_id")]).select(_r(F.col("average")).alias("average"))
+
+
+@_query(f"select document_id, name, price from (select *, row_number() over (partition by document_id order by price desc) as n from (select * from {_PARTS} where list_contains({_std('name')}, 'bolt') union all select * from {_PARTS} where list_contains({_std('name')}, 'red'))) where n = 1 order by price desc, document_id limit 20")
+def q_merge_suggestions(spark, d):
+    found = [search.matches(parts(spark, d), search.Request({"term": {"name": w}})).withColumn("score", F.col("price")) for w in ("bolt", "red")]
+    return search.merge_suggestions(found, 20).select("document_id", "name", "price")

@@ -40,7 +40,7 @@ def location_score(distance: Column, radius: float = K.DEFAULT_RADIUS_M, user_di
 
 def coordinate(*sources: Column) -> Column:
     """The first usable coordinate; 0 counts as missing."""
-    return F.coalesce(*[F.nullif(F.expr("try_cast(x as double)") if isinstance(s, str) else s.try_cast("double"), F.lit(0.0)) for s in sources])
+    return F.coalesce(*[F.nullif(s.try_cast("double"), F.lit(0.0)) for s in sources])
 
 
 def place(name: str) -> tuple[float, float, str] | None:
@@ -72,3 +72,26 @@ def parse_location(query: str, user: tuple[float, float] | None = None) -> dict
     if m:
         return {"lat": float(m[1]), "lng": float(m[2]), "radius": radius_of(q[m.end() :]) or K.DEFAULT_RADIUS_M, "kind": "coordinates"}
     return None
+
+
+def extract_location(lat: Column | None = None, lng: Column | None = None, pair: Column | None = None, point: Column | None = None) -> Column:
+    """struct(lat, lng) from plain columns, a [lng, lat] array or a struct with lat and lng; zeros are missing; null without both."""
+    lats = [c for c in (lat, F.get(pair, 1) if pair is not None else None, point["lat"] if point is not None else None) if c is not None]
+    lngs = [c for c in (lng, F.get(pair, 0) if pair is not None else None, point["lng"] if point is not None else None) if c is not None]
+    a, b = coordinate(*lats), coordinate(*lngs)
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("lat"), b.alias("lng")))
+
+
+def filter_by_location(hits, where: dict | None, lat: str = "lat", lng: str = "lng", user: tuple[float, float] | None = None):
+    """Hits within the radius (all, at 0.5, without a place), with location_score, the best first."""
+    at = lambda p: haversine(F.col(lat), F.col(lng), F.lit(p[0]), F.lit(p[1]))
+    mine = at(user) if user else None
+    if where is None:
+        return hits.withColumn("location_score", location_score(F.lit(None).cast("double"), user_distance=mine)).orderBy(F.desc("location_score"), "document_id")
+    here = (where["lat"], where["lng"])
+    kept = hits.where(within(F.col(lat), F.col(lng), here, where["radius"]))
+    return kept.withColumn("location_score", location_score(at(here), where["radius"], mine)).orderBy(F.desc("location_score"), "document_id")
+
+
+def distance_phrase(metres: Column) -> Column:
+    return F.when(metres < 1000, F.concat(F.round(metres).cast("int").cast("string"), F.lit(" m"))).otherwise(F.concat(F.format_string("%.1f", metres / 1000), F.lit(" km")))
