@@ -168,14 +168,12 @@ class Segments:
         return self.held[p]
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        part = _part(h, self.parts)
-        o = np.argsort(part.astype(np.uint16) if self.parts <= 65536 else part, kind="stable")
-        cut = np.searchsorted(part[o], np.arange(self.parts + 1))
-        out = np.zeros(len(h), np.int64)
+        u, back = np.unique(h, return_inverse=True)  # frequent n-grams, of high levels, are probed once a slice
+        cut = np.searchsorted(_part(u, self.parts), np.arange(self.parts + 1))
+        out = np.zeros(len(u), np.int64)
         for p in np.flatnonzero(np.diff(cut)):
-            i = o[cut[p] : cut[p + 1]]
-            out[i] = read_levels(h[i], self[int(p)])
-        return out
+            out[cut[p] : cut[p + 1]] = read_levels(u[cut[p] : cut[p + 1]], self[int(p)])
+        return out[back]
 
 
 @functools.lru_cache(2)
@@ -211,7 +209,7 @@ SCORED = "doc_id long, n_words long, log_prob double, perplexity double"
 def _score(folder: str, parts: int, order: int, tokens: int):
     def run(batches):
         seg = _open(folder, parts)
-        for b in slices(batches):
+        for b in slices(batches, 4 << 20):
             h, first, _, _ = T.word_hashes(*string_bytes(b.column(1)))
             lv = []
             for n, (g, doc) in enumerate(grams(h, first, order), 1):
