@@ -67,17 +67,23 @@ def _count_of(tokens: Column, term: str) -> Column:
 
 def bm25_search(docs: DataFrame, terms: list[str], fields: list[str], weights: dict[str, float] | None = None, key: str = "document_id", k1: float = K.BM25_K1, b: float = K.BM25_B, weight_power: int = 1) -> DataFrame:
     """(key, score) of documents that hold a term.  Fields are scanned once for statistics and once for
-    matches; the query's terms alone are exploded, so nothing of the size of the postings is shuffled."""
+    matches, and only one row of statistics leaves a partition, so nothing is shuffled."""
     weights = weights or K.FIELD_WEIGHTS
-    toks = {f: analyzed(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields}
-    scan = docs.select(key, *[F.struct(F.size(t).alias("n"), *[_count_of(t, w).alias(f"t{i}") for i, w in enumerate(terms)]).alias(f) for f, t in toks.items()])
+
+    def scanned(d: DataFrame) -> DataFrame:
+        # tokens come out of a generator, so that they are made once a row and not once a use
+        toks = F.inline(F.array(F.struct(*[analyzed(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"__{f}") for f in fields])))
+        return d.select(key, toks).select(key, *[F.struct(F.size(f"__{f}").alias("n"), *[_count_of(F.col(f"__{f}"), w).alias(f"t{i}") for i, w in enumerate(terms)]).alias(f) for f in fields])
+
     has = [reduce(lambda a, c: a | c, [F.col(f"{f}.t{i}") > 0 for f in fields]) for i in range(len(terms))]
-    stats = scan.agg(F.count("*").alias("N"), *[F.avg(f"{f}.n").alias(f"avg_{f}") for f in fields], *[F.count_if(h).alias(f"df{i}") for i, h in enumerate(has)])
+    stats = scanned(docs).agg(F.count("*").alias("N"), *[F.avg(f"{f}.n").alias(f"avg_{f}") for f in fields], *[F.count_if(h).alias(f"df{i}") for i, h in enumerate(has)])
     parts = [
         bm25(F.col(f"{f}.t{i}"), F.col(f"df{i}"), F.col("N"), F.col(f"{f}.n"), F.col(f"avg_{f}"), F.lit(weights.get(f, 1.0) ** weight_power), k1, b)
         for f in fields for i in range(len(terms))
     ]
-    hit = scan.where(reduce(lambda a, c: a | c, has)).crossJoin(F.broadcast(stats))  # one row of statistics
+    # a document without the term's characters needn't be tokenized again
+    maybe = reduce(lambda a, c: a | c, [F.lower(F.col(f).cast("string")).contains(w) for f in fields for w in terms])
+    hit = scanned(docs.where(maybe)).where(reduce(lambda a, c: a | c, has)).crossJoin(F.broadcast(stats))  # one row of statistics
     return hit.select(key, reduce(lambda a, c: a + c, parts).alias("score"))
 
 
