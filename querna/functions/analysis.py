@@ -19,11 +19,13 @@ def _full(c: Column) -> Column:
     return F.filter(c, lambda x: x != "")
 
 
-def standard_tokens(c: Column, lowercase: bool = True, special: str = r"[^A-Za-z0-9_ \t\n\r\f\x0B]", unicode: bool = False, stop_words: Iterable[str] | None = None) -> Column:
-    """Words of letters, digits and underscores; anything else separates."""
-    if unicode:
-        special = r"[^\p{L}\p{N}_ \t\n\r\f\x0B]"
-    t = _full(F.split(F.regexp_replace(F.lower(c) if lowercase else c, special, " "), _SPACE))
+def standard_tokens(c: Column, lowercase: bool = True, special: str | None = None, unicode: bool = False, stop_words: Iterable[str] | None = None) -> Column:
+    """Words of letters, digits and underscores; anything else, or what ``special`` matches, separates."""
+    low = F.lower(c) if lowercase else c
+    if special is None:  # one pass of the regex machine instead of two and a filter
+        t = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+" if unicode else "[A-Za-z0-9_]+"), F.lit(0))
+    else:
+        t = _full(F.split(F.regexp_replace(low, special, " "), _SPACE))
     return stop_filter(stop_words)(t) if stop_words else t
 
 
