@@ -848,9 +848,9 @@ def q_constant_fallback(spark, d):
     return textsearch.constant_fallback(parts(spark, d), "bolt", F.col("name"), F.col("category_name")).select("document_id", F.col("score").cast("decimal(2,1)").alias("score"))
 
 
-@_query(f"select document_id, text as content from {_FLAGGED} where is_active and is_verified and not is_blocked and lang = 'de'")
+@_query(f"select document_id, text as content from {_FLAGGED} where is_active and is_verified and not is_blocked")
 def q_active_documents(spark, d):
-    return textsearch.valid_results(textsearch.active_documents(flagged(spark, d)).where("lang = 'de'").select("document_id", F.col("text").alias("content")), "content")
+    return textsearch.valid_results(textsearch.active_documents(flagged(spark, d)).select("document_id", F.col("text").alias("content")), "content")
 
 
 @_query("select event_id, cast(json_extract(props, '$.k') as bigint) as k, event_type || ':' || json_extract_string(props, '$.k') as label from events")
@@ -893,9 +893,9 @@ def q_field_word_count(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.size(analysis.whitespace_tokens(F.col("text"))).cast("long").alias("words"))
 
 
-@_query("select p_partkey, cast(p_retailprice as varchar) as price_text, trim(p_name) || ' ' || p_type as content from part where p_size = 7")
+@_query("select p_partkey, cast(p_retailprice as varchar) as price_text, trim(p_name) || ' ' || p_type as content from part")
 def q_field_text(spark, d):
-    p = _t(spark, d, "part").where("p_size = 7")
+    p = _t(spark, d, "part")
     return p.select("p_partkey", analysis.field_text(F.col("p_retailprice"), "double").alias("price_text"), analysis.field_text(F.array("p_name", "p_type"), "array<string>").alias("content"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from querna import constants as K
 from querna.functions.fuzzy import bounded_levenshtein, simple_similarity
+from querna.plans.ranks import global_rank
 
 
 def _some(parts: Column, test, word: str) -> Column:
@@ -137,8 +138,8 @@ def fuse(lists: list[DataFrame], k: int = K.RRF_K, weights: list[float] | None =
     """Reciprocal rank fusion: (key, rrf) over lists that hold key and score."""
     ranked = []
     for df, w in zip(lists, weights or [1.0] * len(lists)):
-        at = F.row_number().over(Window.orderBy(F.desc(score), F.asc(key)))
-        ranked.append(df.select(key, (F.lit(w) / (k + at)).alias("part")))
+        at = global_rank(df.select(key, score), score, key, "__at")
+        ranked.append(at.select(key, (F.lit(w) / (k + F.col("__at"))).alias("part")))
     return reduce(DataFrame.unionByName, ranked).groupBy(key).agg(F.sum("part").alias("rrf"))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querna import constants as K
+from querna.plans.ranks import global_rank
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,8 +24,8 @@ def semantic_search(vectors: DataFrame, query: list[float], threshold: float = K
 
 def hybrid(keyword: DataFrame, semantic: DataFrame, key: str = "document_id", score: str = "score", wk: float = 0.6, ws: float = 0.4, k: int = K.RRF_K) -> DataFrame:
     """Keyword hits, lifted by their semantic rank where they have one."""
-    at = lambda: F.row_number().over(Window.orderBy(F.desc(score), F.asc(key)))
-    a, b = keyword.select(key, at().alias("kw_rank")), semantic.select(key, at().alias("sem_rank"))
+    a = global_rank(keyword.select(key, score), score, key, "kw_rank").select(key, "kw_rank")
+    b = global_rank(semantic.select(key, score), score, key, "sem_rank").select(key, "sem_rank")
     s = F.lit(wk) / (k + F.col("kw_rank")) + F.coalesce(F.lit(ws) / (k + F.col("sem_rank")), F.lit(0.0))
     return a.join(b, key, "left").select(key, s.alias("score"))
 

@@ -186,3 +186,16 @@ def test_plans_prune_and_push(spark):
     assert "PushedFilters: [" in plan and "o_custkey" not in plan
     plan = catalogue.queries()["bm25_multi_field"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "p_size" not in plan
+
+
+def test_global_rank(spark):
+    import random
+
+    from querna.plans.ranks import global_rank
+
+    r = random.Random(1)
+    rows = [(i, r.choice([None, float(r.randrange(40)), r.random()])) for i in range(500)]
+    got = {x.k: x.rank for x in global_rank(spark.createDataFrame(rows, "k int, s double"), "s", "k", buckets=8).collect()}
+    want = sorted(rows, key=lambda t: (t[1] is None, -(t[1] or 0), t[0]))
+    assert [got[k] for k, _ in want] == list(range(1, 501))
+    assert global_rank(spark.createDataFrame([], "k int, s double"), "s", "k").collect() == []
