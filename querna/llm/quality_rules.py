@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, document_id, texts
+from .common import cut, texts
 
 #: rule: (measure, bad if, good if); measures are defined below and in OP8_SQL alike.
 RULES = {
@@ -66,11 +66,19 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
+def _measured(text: Column) -> Column:
+    """The measures as generated columns: expressions above a generator aren't merged into
+    the scan, so each pass over the texts evaluates every measure once."""
+    return F.inline(F.array(F.struct(*(c.alias(k) for k, c in measures(text).items()))))
+
+
+def _votes() -> list[Column]:
+    return [F.expr(f"case when {bad} then 0 when {good} then 1 else -1 end").cast("int").alias(f"v_{r}") for r, (_, bad, good) in RULES.items()]
+
+
 def with_votes(docs: DataFrame) -> DataFrame:
     """(doc_id, words, v_<rule>...): one vote a rule and document."""
-    m = texts(docs).select("doc_id", *(c.alias(k) for k, c in measures(F.col("text")).items()))
-    votes = [F.expr(f"case when {bad} then 0 when {good} then 1 else -1 end").cast("int").alias(f"v_{r}") for r, (_, bad, good) in RULES.items()]
-    return m.select("doc_id", "words", *votes)
+    return texts(docs).select("doc_id", _measured(F.col("text"))).select("doc_id", "words", *_votes())
 
 
 def fit(voted: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -116,11 +124,9 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def filter_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, unchanged, whose posterior quality reaches the threshold."""
     model = fit(with_votes(docs))
-    names = docs.columns
-    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), document_id(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    m = body.select("row", *(c.alias(k) for k, c in measures(F.col("text")).items()))
-    votes = [F.expr(f"case when {bad} then 0 when {good} then 1 else -1 end").alias(f"v_{r}") for r, (_, bad, good) in RULES.items()]
-    return m.select("row", "words", *votes).where(posterior(model) >= threshold).select("row.*")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _measured(text))
+    return body.select("row", "words", *_votes()).where(posterior(model) >= threshold).select("row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
