@@ -188,7 +188,7 @@ def q_postings_positions(spark, d):
 
 @_query(f"select term, count(*) as df from (select distinct doc_id, unnest({_tok('text')}) as term from documents) group by 1 order by df desc, term limit 100")
 def q_term_df_top100(spark, d):
-    return I.top_terms(I.postings(_t(spark, d, "documents").withColumnRenamed("doc_id", "document_id"), ["text"]))
+    return I.document_frequency(_t(spark, d, "documents"), ["text"]).orderBy(F.desc("df"), F.asc("term")).limit(100)
 
 
 @_query(f"select 'text' as field, count(*) as doc_count, cast(sum(n) as bigint) as total_length, round(avg(n), 6) as avg_length from (select len({_tok('text')}) as n from documents)")
@@ -971,3 +971,50 @@ def q_last_jobs_average(spark, d):
 def q_merge_suggestions(spark, d):
     found = [search.matches(parts(spark, d), search.Request({"term": {"name": w}})).withColumn("score", F.col("price")) for w in ("bolt", "red")]
     return search.merge_suggestions(found, 20).select("document_id", "name", "price")
+
+
+@_query(f"select document_id, lower(coalesce(nullif(case when size % 4 = 0 then null else name end, ''), category_name, '')) as label from {_PARTS}")
+def q_alternative_field(spark, d):
+    name = F.when(F.col("size") % 4 != 0, F.col("name"))
+    return parts(spark, d).select("document_id", F.lower(F.coalesce(F.nullif(name, F.lit("")), F.col("category_name"), F.lit(""))).alias("label"))
+
+
+@_query(f"select document_id, name, lower(name) as name_lower, lower(category_name) as category_lower, price > 950 as is_active from {_PARTS}")
+def q_materialized_columns(spark, d):
+    return parts(spark, d).select("document_id", "name", F.lower("name").alias("name_lower"), F.lower("category_name").alias("category_lower"), (F.col("price") > 950).alias("is_active"))
+
+
+@_query(f"select term, source, total_frequency from (select term, 'exact' as source, total_frequency, 1.0 as s from {_TERMS} where term = 'ring' union all select term, 'similar', total_frequency, {_sim(chr(39) + 'ring' + chr(39), 'term')} from {_TERMS} where term <> 'ring' and {_sim(chr(39) + 'ring' + chr(39), 'term')} > 0.3)")
+def q_exact_or_similar(spark, d):
+    t = terms(spark, d)
+    exact = t.where("term = 'ring'").withColumn("source", F.lit("exact"))
+    near = t.where((F.col("term") != "ring") & (fuzzy.similarity(F.lit("ring"), F.col("term")) > K.TRIGRAM_THRESHOLD)).withColumn("source", F.lit("similar"))
+    return exact.unionByName(near).select("term", "source", "total_frequency")
+
+
+@_query(f"select ft as field_type, count(*) as terms, cast(sum(total_frequency) as bigint) as frequency, max(length(term)) as longest from (select unnest(field_types) as ft, term, total_frequency from {_TERMS}) group by 1")
+def q_dictionary_by_field(spark, d):
+    t = terms(spark, d).select(F.explode("field_types").alias("field_type"), "term", "total_frequency")
+    return t.groupBy("field_type").agg(F.count("*").alias("terms"), F.sum("total_frequency").alias("frequency"), F.max(F.length("term")).cast("long").alias("longest"))
+
+
+@_query(_bm25_sql(_PARTS, ["red", "anvil"], {"name": 9.0, "category_name": 1.0}))
+def q_bm25_weight_power(spark, d):
+    return I.bm25_search(parts(spark, d), ["red", "anvil"], ["name", "category_name"], weight_power=2).withColumn("score", _r(F.col("score")))
+
+
+@_query("select o_orderkey, round(greatest(0.1::double, 1 - date_diff('day', cast(o_orderdate as date), date '2001-08-01') / 365), 6) as freshness from orders")
+def q_signal_freshness(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", _r(ranking.signal_freshness(F.col("o_orderdate"), F.lit("2001-08-01").cast("date"))).alias("freshness"))
+
+
+@_query(f"select doc_id as document_id, count(distinct t) as distinct_terms, count(*) as terms, max(n) as max_tf from (select doc_id, t, count(*) over (partition by doc_id, t) as n from (select doc_id, unnest({_tok('text')}) as t from documents)) group by 1")
+def q_processed_documents(spark, d):
+    p = I.postings(_t(spark, d, "documents").withColumnRenamed("doc_id", "document_id"), ["text"])
+    return p.groupBy("document_id").agg(F.count("*").alias("distinct_terms"), F.sum("tf").alias("terms"), F.max("tf").alias("max_tf"))
+
+
+@_query(f"select document_id, score, name from (select document_id, name, case when contains(name, 'gear') then 2.0::double else 1.0::double end as score from {_PARTS} where list_has_any({_std('name')}, ['gear', 'hot'])) order by score desc, document_id limit 15")
+def q_two_phase_topk(spark, d):
+    hit = parts(spark, d).where(textsearch.any_terms(["name"], "hot gear")).withColumn("score", F.when(F.col("name").contains("gear"), 2.0).otherwise(1.0))
+    return hit.orderBy(F.desc("score"), "document_id").limit(15).select("document_id", "score", "name")

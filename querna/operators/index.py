@@ -55,6 +55,12 @@ def top_terms(p: DataFrame, n: int = 100, key: str = "document_id") -> DataFrame
     return term_stats(p, key=key).orderBy(F.desc("df"), F.asc("term")).limit(n)
 
 
+def document_frequency(docs: DataFrame, fields: list[str], analyzer=analyzed) -> DataFrame:
+    """df straight from the documents: distinct terms a document, then counts, combined before the one shuffle."""
+    terms = F.array_distinct(F.flatten(F.array(*[analyzer(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields])))
+    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def bm25(tf: Column, df: Column, n: Column, length: Column, avg: Column, weight: Column, k1: float = K.BM25_K1, b: float = K.BM25_B) -> Column:
     idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
     s = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg)) * weight
