@@ -6,10 +6,12 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from querna.session import reach_workers
+
 _STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
 _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize"
@@ -87,4 +89,6 @@ def _stems(tokens: pd.Series) -> pd.Series:
 
 
 def stem_tokens(t: Column) -> Column:
+    if spark := SparkSession.getActiveSession():
+        reach_workers(spark)
     return _stems(t)
