@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querna.session import reach_workers
+
 #: Bytes of text that one numpy step handles at a time (working memory is some 40 times this).
 SLICE_BYTES = 1 << 20
 
@@ -49,6 +51,7 @@ def document_id() -> Column:
 
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) alone, so that no other column can clash; null text is empty."""
+    reach_workers(docs.sparkSession)
     return docs.select(document_id(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from querna.session import reach_workers
+
 from .common import table
 
 ROUNDS, MOST_CENTROIDS = 6, 1024
 #: Entries of a cell on average, entries of a group of cells that one reducer ranks, query rows that come to it.
-CELL_ENTRIES, GROUP_ENTRIES, GROUP_ROWS = 32, 4_000, 200_000
+CELL_ENTRIES, GROUP_ENTRIES, GROUP_ROWS = 32, 4_000, 16_000
 SAMPLE = 256
 
 
@@ -33,6 +35,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 def vectors(embeddings: DataFrame) -> tuple[DataFrame, int]:
     """((vec_id, v), dimensions): valid vectors of the commonest length, one an id."""
+    reach_workers(embeddings.sparkSession)
     e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
     e = e.where("vec_id is not null and v is not null and size(v) > 1 and not exists(v, x -> x is null or isnan(x))")
     top = e.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -149,8 +152,8 @@ def _rerank(k: int):
         out: list[tuple[np.ndarray, ...]] = []
         if len(queries) and len(entries):
             e, ei, cell = np.stack(entries["v"].to_numpy()).astype(np.float64), entries["vec_id"].to_numpy(), entries["cell"].to_numpy()
-            for s in range(0, len(queries), 1024):
-                part = queries.iloc[s : s + 1024]
+            for s in range(0, len(queries), 512):
+                part = queries.iloc[s : s + 512]
                 q, qi = np.stack(part["v"].to_numpy()).astype(np.float64), part["vec_id"].to_numpy()
                 seen = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in part["cells"]]), axis=1).astype(bool)
                 r, c, dist = _top(q, qi, e, ei, k, seen[:, cell])
