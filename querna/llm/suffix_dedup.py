@@ -185,7 +185,7 @@ def column_wise(strings: list[np.ndarray], store: Columns) -> tuple[np.ndarray,
 
 
 def _runs(min_words: int, folder: str):
-    """(seg, begin, end, keeper): windows begin..end of a segment stand in several documents, the least of which is keeper."""
+    """(anchor, seg, begin, end, keeper): windows begin..end of a segment stand in several documents, the least of which is keeper."""
 
     def run(u: pd.DataFrame) -> pd.DataFrame:
         strings = [np.frombuffer(x, np.uint32) for x in u["words"]]
@@ -211,7 +211,7 @@ def _runs(min_words: int, folder: str):
         new = np.append(True, (seg[1:] != seg[:-1]) | (off[1:] != off[:-1] + 1) | (keeper[1:] != keeper[:-1])) if len(seg) else np.zeros(0, bool)
         b = np.flatnonzero(new)
         e = np.append(b[1:], len(seg)) - 1 if len(b) else b
-        return pd.DataFrame({"seg": u["seg"].to_numpy()[seg[b]], "begin": off[b], "end": off[e], "keeper": keeper[b]})
+        return pd.DataFrame({"anchor": u["anchor"].to_numpy()[seg[b]], "seg": u["seg"].to_numpy()[seg[b]], "begin": off[b], "end": off[e], "keeper": keeper[b]})
 
     return run
 
@@ -247,9 +247,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     buckets = max(1, math.ceil(count / SEGMENTS_PER_BUCKET))
     unique = segments.groupBy("anchor", "seg").agg(F.first("words").alias("words"), F.min("doc_id").alias("lo_doc"), F.max("doc_id").alias("hi_doc"))
     folder = f"{shared_dir(spark).rstrip('/')}/columns-{uuid.uuid4().hex}"
-    runs = unique.groupBy(F.pmod(F.xxhash64(F.lit(7), "anchor"), F.lit(buckets)).alias("bucket")).applyInPandas(_runs(min_words, folder), "seg long, begin int, end int, keeper long")
+    runs = unique.groupBy(F.pmod(F.xxhash64(F.lit(7), "anchor"), F.lit(buckets)).alias("bucket")).applyInPandas(_runs(min_words, folder), "anchor long, seg long, begin int, end int, keeper long")
     runs = cut(runs)
-    found = segments.select("seg", "doc_id", "lo").join(runs, "seg")
+    found = segments.select("anchor", "seg", "doc_id", "lo").join(runs, ["anchor", "seg"])
     found = found.select("doc_id", (F.col("lo") + F.col("begin")).alias("start_word"), (F.col("lo") + F.col("end") + min_words).alias("end_word"), (F.col("doc_id") != F.col("keeper")).alias("cut")).distinct()
     return _merge(found.select("doc_id", F.explode(F.when(F.col("cut"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("removed"), "start_word", "end_word"))
 
