@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querna.session import reach_workers
+
 from .boosting import Boosted
 from .common import document_id, texts
 
@@ -30,8 +32,11 @@ REACH = 96
 GENERATORS = [
     ("email", re.compile(r"[\w.+%-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})*")),
     ("phone", re.compile(r"(?<![\w.])\+?\(?\d(?:[ ().-]{0,2}\d){6,14}(?!\w)")),
+    ("phone", re.compile(r"(?<![\w.])\+?(?:\d{1,3}[ .-])?\(?\d{2,4}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)")),
     ("ip", re.compile(r"(?<!\w)\d{1,3}(?:\.\d{1,3}){3,}(?!\w)")),
     ("card", re.compile(r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)")),
+    ("card", re.compile(r"(?<!\w)\d{13,19}(?!\w)")),
+    ("card", re.compile(r"(?<!\w)\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\w)")),
     ("ssn", re.compile(r"(?<!\w)\d{3}[- ]?\d{2}[- ]?\d{4}(?!\w)")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("key", re.compile(r"(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{12,20}|(?:sk|ghp|gho|xox[bp])[_-][\w-]{16,}|[A-Za-z0-9_+/-]{16,}={0,2})(?!\w)")),
@@ -127,7 +132,7 @@ def _example(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         "ssn": lambda: f"{r.randint(100, 899)}-{d(2)}-{d(4)}",
         "iban": lambda: r.choice(["DE", "FR", "ES", "GB", "NL"]) + d(2) + r.choice(["", " "]).join(["", *(d(4) for _ in range(r.randint(3, 5)))]),
         "key": lambda: r.choice([r.choice(["AKIA", "ASIA"]) + "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(16)), "ghp_" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(36)), "sk-" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(32))]),
-        "secret": lambda: r.choice(["password", "passwd", "pwd", "token", "secret", "api_key", "PASSWORD", "apikey", "auth"]) + r.choice(["=", " = ", ": ", "="]) + (lambda v, q: q + v + q)(r.choice([hexes(r.choice([16, 18, 32, 40])), w(6, 10) + d(3), "".join(r.choice(string.ascii_letters + string.digits + "!#%") for _ in range(r.randint(8, 20)))]), r.choice(["", '"'])),
+        "secret": lambda: r.choice(["password", "passwd", "pwd", "token", "secret", "api_key", "PASSWORD", "apikey", "auth"]) + r.choice(["=", " = ", ": ", "="]) + (lambda v, q: q + v + q)(r.choice([hexes(r.choice([16, 18, 32, 40])), d(r.randint(6, 20)), "".join(r.choice("0123456789" * 3 + "abcdef") for _ in range(r.randint(12, 32))), w(6, 10) + d(3), "".join(r.choice(string.ascii_letters + string.digits + "!#%") for _ in range(r.randint(8, 20)))]), r.choice(["", '"'])),
     }
     bad = [
         lambda: f"{r.randint(0, 20)}.{r.randint(0, 30)}.{r.randint(0, 99)}", lambda: f"20{d(2)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{d(2)}",
@@ -138,12 +143,13 @@ def _example(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     ]
     parts, spans, at = [], [], 0
     for _ in range(r.randint(2, 6)):
-        words = " ".join(r.choice([w, w, w, lambda: w().capitalize()])() + r.choice(["", "", "", ".", ","]) for _ in range(r.randint(1, 6)))
+        words = "" if at and r.random() < 0.25 else " ".join(r.choice([w, w, w, lambda: w().capitalize()])() + r.choice(["", "", "", ".", ","]) for _ in range(r.randint(1, 6)))
         kind = r.choice(KINDS)
-        if r.random() < 0.3:
+        if words and r.random() < 0.3:
             words += " " + r.choice(CONTEXT.get(kind, "ref").split())
-        parts.append(words + " ")
-        at += len(words) + 1
+        words += " " if words else ""
+        parts.append(words)
+        at += len(words)
         if r.random() < 0.5:
             s = good[kind]()
             spans.append((kind, at, at + len(s)))
@@ -220,6 +226,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every selected span replaced by its kind, as in <EMAIL>; n_chars
     follows where there is one.  Row for row, all other columns as they were."""
+    reach_workers(docs.sparkSession)
     m, bounds = model()
     at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
