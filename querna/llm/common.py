@@ -80,7 +80,3 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = SLICE_BYTES) -> I
             end = max(at + 1, int(np.searchsorted(o, o[at] + max_bytes, "right")) - 1)
             yield b.slice(at, end - at)
             at = end
-
-
-def binaries(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())

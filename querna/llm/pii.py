@@ -18,12 +18,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from querna.session import reach_workers
 
 from .boosting import Boosted
-from .common import document_id, texts
+from .common import texts
 
 KINDS = ["email", "phone", "ip", "card", "ssn", "iban", "key", "secret"]
 #: Every generator's match holds one of these; regexes then run on their surroundings alone.

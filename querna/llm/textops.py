@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import numpy as np
 
-M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _pows = np.ones(1, np.uint64)
 
