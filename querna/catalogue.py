@@ -871,6 +871,12 @@ def q_lateral_outer(spark, d):
     return c.select("conv_id", "turn", F.explode_outer(F.when(F.col("role") == "user", F.slice(F.split("text", " "), 1, 3))).alias("word"))
 
 
+@_query("select conv_id, turn, unnest(case when role = 'user' then coalesce(string_split(text, ' '), [null]) else [null] end) as word from conversations")
+def q_lateral_outer_words(spark, d):
+    """All words of a user's turn; lateral_outer keeps the first three."""
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.explode_outer(F.when(F.col("role") == "user", F.split("text", " "))).alias("word"))
+
+
 @_query(f"select document_id, field, term, cast(2 * tf as bigint) as tf from {_POST}")
 def q_postings_merge(spark, d):
     p = I.postings(parts(spark, d), ["name", "category_name"])
