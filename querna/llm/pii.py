@@ -25,8 +25,9 @@ from .boosting import Boosted
 from .common import texts
 
 KINDS = ["email", "phone", "ip", "card", "ssn", "iban", "key", "secret"]
-#: Every generator's match holds one of these; regexes then run on their surroundings alone.
-ANCHOR = re.compile(r"[\d@=]|AKIA|ASIA|BEGIN [A-Z ]*PRIVATE")
+#: Every generator's match holds one of these, a key that is all letters the last; regexes then run on their surroundings alone.
+ANCHOR = re.compile(r"[\d@=:]|(?<![\w+/-])[\w+/-]{16,}")
+#: No match begins further before its first anchor, nor has white space further behind its last one.
 REACH = 96
 GENERATORS = [
     ("email", re.compile(r"[\w.+%-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})*")),
@@ -58,24 +59,27 @@ def _luhn(d: str) -> bool:
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """(kind, begin, end) of all proposals, each once."""
-    out, done = set(), 0
-    hits = [m.span() for m in ANCHOR.finditer(text)]
-    i = 0
-    while i < len(hits):
-        lo, hi = max(done, hits[i][0] - REACH), hits[i][1] + REACH
-        while i + 1 < len(hits) and hits[i + 1][0] - REACH <= hi:
-            i += 1
-            hi = hits[i][1] + REACH
-        i += 1
-        while lo > 0 and not text[lo - 1].isspace() and lo > hits[0][0] - 4 * REACH and lo > done:
-            lo -= 1
+    out: set[tuple[str, int, int]] = set()
+    windows: list[list[int]] = []
+    for m in ANCHOR.finditer(text):
+        lo, hi = max(0, m.start() - REACH), m.end() + REACH
+        if windows and hi <= windows[-1][1]:
+            continue
         while hi < len(text) and not text[hi].isspace():
             hi += 1
+        if windows and lo <= windows[-1][1]:
+            windows[-1][1] = hi
+            continue
+        end = windows[-1][1] if windows else 0
+        while lo > end and not text[lo - 1].isspace():
+            lo -= 1
+        if windows and lo == end:
+            windows[-1][1] = hi
+        else:
+            windows.append([lo, hi])
+    for lo, hi in windows:
         for kind, pattern in GENERATORS:
-            for m in pattern.finditer(text, lo, min(hi, len(text))):
-                if ANCHOR.search(m.group()):
-                    out.add((kind, m.start(), m.end()))
-        done = min(hi, len(text))
+            out.update((kind, m.start(), m.end()) for m in pattern.finditer(text, lo, min(hi, len(text))))
     return sorted(out, key=lambda c: (c[1], c[2], c[0]))
 
 
