@@ -5,8 +5,9 @@ An n-gram of count c has level 1 + floor(log_b c), and the filter holds the pair
 reads the quantised count back; errors can only raise it, and rarely.  Counts
 cover all documents.  The filter is cut into segments by n-gram hash, each built
 by one reducer; workers map the segments' files from the shared folder.  A filter
-beyond ``broadcast_mb`` isn't spread to workers: levels are then joined to the
-documents' n-grams by shuffle.
+beyond ``broadcast_mb`` isn't spread to workers: the distinct n-grams of each slice
+of text then go to the segment that holds them, and their levels come back.  Both
+ways read the same filter, so scores don't depend on which one is taken.
 """
 
 from __future__ import annotations
@@ -147,6 +148,11 @@ def _level_rows(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"gram": h.view(np.int64), "level": levels(c)})
 
 
+def _level_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    h, c = _totals(rows)
+    return pd.DataFrame({"gram": h.view(np.int64), "level": levels(c)})
+
+
 class Segments:
     """The segments' bytes: mapped where the shared folder is a mounted one, read once a worker elsewhere."""
 
@@ -203,6 +209,18 @@ def _scored(ids: pa.Array, first: np.ndarray, logp: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(np.round(total, 4)), pa.array(np.round(ppl, 4), mask=n == 0)], ["doc_id", "n_words", "log_prob", "perplexity"])
 
 
+def _gram_levels(h: np.ndarray, first: np.ndarray, order: int, levels) -> list[np.ndarray]:
+    """The level of the n-gram that ends at each word, for each n up to order; -1 where none does."""
+    lv = []
+    for n, (g, _) in enumerate(grams(h, first, order), 1):
+        full = np.full(len(h), -1, np.int64)
+        if len(g):
+            start = np.flatnonzero(np.repeat(first[1:], np.diff(first)) - np.arange(len(h)) >= n)
+            full[start + n - 1] = levels(g)
+        lv.append(full)
+    return lv
+
+
 SCORED = "doc_id long, n_words long, log_prob double, perplexity double"
 
 
@@ -211,18 +229,73 @@ def _score(folder: str, parts: int, order: int, tokens: int):
         seg = _open(folder, parts)
         for b in slices(batches, 4 << 20):
             h, first, _, _ = T.word_hashes(*string_bytes(b.column(1)))
-            lv = []
-            for n, (g, doc) in enumerate(grams(h, first, order), 1):
-                full = np.full(len(h), -1, np.int64)
-                if len(g):
-                    start = np.flatnonzero(np.repeat(first[1:], np.diff(first)) - np.arange(len(h)) >= n)
-                    full[start + n - 1] = seg.levels(g)
-                lv.append(full)
+            lv = _gram_levels(h, first, order, seg.levels)
             yield _scored(b.column(0), first, smooth(lv, tokens) if len(h) else np.zeros(0))
 
     return run
 
 
+def _sliced(batches):
+    """Rows with the number of their slice, which is that of its first row."""
+    for b in batches:
+        for x in slices([b], 4 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(x.num_rows, x.column(0)[0].as_py(), np.int64)), *x.columns], ["slice", "row", "doc_id", "text"])
+
+
+def _distinct(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, first word of each text, its distinct n-grams in order) of a slice."""
+    h, first, _, _ = T.word_hashes(*string_bytes(texts))
+    return h, first, np.unique(np.concatenate([g for g, _ in grams(h, first, order)])) if len(h) else np.zeros(0, np.uint64)
+
+
+def _asked(order: int, parts: int):
+    """The distinct n-grams of slices as blocks by segment; a slice that batches divide asks in runs from row ``at``."""
+
+    def run(batches):
+        for b in batches:
+            number = b.column(0).to_numpy()
+            cuts = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else np.zeros(0, int)
+            for s, e in zip(cuts, np.append(cuts[1:], len(number))):
+                _, _, u = _distinct(b.column(2).slice(s, e - s), order)
+                at = np.searchsorted(_part(u, parts), np.arange(parts + 1))
+                held = np.flatnonzero(np.diff(at))
+                blocks = pa.array([u[at[p] : at[p + 1]].tobytes() for p in held], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), number[s])), pa.array(np.full(len(held), b.column(1)[s].as_py(), np.int64)), pa.array(held), blocks], ["slice", "at", "part", "grams"])
+
+    return run
+
+
+def _answer(folder: str, parts: int):
+    """The levels of a segment's blocks, one byte each, in the order of the n-grams."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        bits = Segments(folder, parts)[key[0].as_py()]
+        out = [read_levels(np.frombuffer(x.as_buffer(), np.uint64), bits).astype(np.uint8).tobytes() for x in t.column("grams")]
+        return pa.table({"slice": t.column("slice"), "at": t.column("at"), "part": t.column("part"), "levels": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _score_slice(order: int, tokens: int):
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, answers = rows.sort_by("row").combine_chunks(), answers.sort_by([("at", "ascending"), ("part", "ascending")])
+        asked = answers.column("at").to_numpy()
+        begin = np.unique(asked)
+        cuts = np.searchsorted(rows.column("row").to_numpy(), begin)
+        cuts[:1] = 0  # rows without words ask nothing
+        out = []
+        for a, s, e in zip(begin, cuts, np.append(cuts[1:], len(rows))) if len(begin) else [(0, 0, len(rows))]:
+            x = rows.slice(s, e - s).combine_chunks().to_batches()[0]
+            h, first, u = _distinct(x.column(x.schema.get_field_index("text")), order)
+            lo, hi = np.searchsorted(asked, [a, a + 1])
+            level = np.frombuffer(b"".join(answers.column("levels").slice(lo, hi - lo).to_pylist()), np.uint8).astype(np.int64)
+            lv = _gram_levels(h, first, order, lambda g: level[np.searchsorted(u, g)])  # noqa: B023
+            out.append(_scored(x.column(x.schema.get_field_index("doc_id")), first, smooth(lv, tokens) if len(h) else np.zeros(0)))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
 def _gram_rows(order: int):
     def run(batches):
         for b in slices(batches):
@@ -255,7 +328,8 @@ def score(docs: DataFrame, order: int = ORDER, broadcast_mb: float = 1024) -> Da
     is the natural logarithm summed over words.  Null, empty and word-less texts have
     no words, log_prob 0 and a null perplexity; rows with a null doc_id are counted
     and scored like all others; an empty table gives no rows; columns other than
-    doc_id and text are ignored.
+    doc_id and text are ignored.  A ``broadcast_mb`` of 0 asks for exact levels without
+    the filter, to compare with.
     """
     spark, t = docs.sparkSession, texts(docs)
     size = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -267,8 +341,14 @@ def score(docs: DataFrame, order: int = ORDER, broadcast_mb: float = 1024) -> Da
     tokens = stats[1] or 0
     if (stats[0] or 0) <= broadcast_mb * 1e6:
         return t.mapInArrow(_score(folder, parts, order, tokens), SCORED)
+    numbered = t.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if broadcast_mb:
+        rows = table(numbered.mapInArrow(_sliced, "slice long, row long, doc_id long, text string"), "slices")
+        asked = rows.select("slice", "row", "text").mapInArrow(_asked(order, parts), "slice long, at long, part long, grams binary")
+        answers = asked.groupBy("part").applyInArrow(_answer(folder, parts), "slice long, at long, part long, levels binary")
+        return rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score_slice(order, tokens), SCORED)
+    rows = table(numbered, "rows")
     lv = blocks.groupBy("part").applyInPandas(_level_rows, "gram long, level long")
-    rows = table(t.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
     g = rows.select("row", "text").mapInArrow(_gram_rows(order), "row long, at long, n int, gram long").join(lv, "gram")
     scored = g.groupBy("row").applyInPandas(_score_rows(order, tokens), "row long, n_words long, log_prob double, perplexity double")
     out = rows.select("row", "doc_id").join(scored, "row", "left")

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from querna.llm import pii
+from querna.llm import bloom_lm, pii
+
+from .conftest import make, prose
 
 
 @pytest.mark.parametrize("text, left", [
@@ -33,3 +35,12 @@ def test_pii_recall_over_all_generated_spans():
         found += sum(any(k == g[0] and g[1] <= b and e <= g[2] for g in got) for k, b, e in known)
         spans += len(known)
     assert found / spans > 0.97
+
+
+def test_lm_beyond_the_limit_reads_the_same_filter(spark):
+    r = random.Random(7)
+    rows = [(i, prose(r, r.randrange(400), 3000)) for i in range(300)] + [(1, "one two"), (None, "two one"), (400, ""), (401, None), (402, prose(r, 900_000, 60_000))]
+    for docs in (make(spark, rows).repartition(3), make(spark, []), make(spark, [(1, "")])):
+        key = lambda x: (str(x.doc_id), x.n_words, x.log_prob, str(x.perplexity))
+        near, far = (sorted(map(key, bloom_lm.score(docs, broadcast_mb=mb).collect())) for mb in (1024, 1e-6))
+        assert near == far
