@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from querna.llm import bloom_lm, pii
+from querna.llm import bloom_lm, jaccard_join, pii
 
 from .conftest import make, prose
 
@@ -44,3 +46,15 @@ def test_lm_beyond_the_limit_reads_the_same_filter(spark):
         key = lambda x: (str(x.doc_id), x.n_words, x.log_prob, str(x.perplexity))
         near, far = (sorted(map(key, bloom_lm.score(docs, broadcast_mb=mb).collect())) for mb in (1024, 1e-6))
         assert near == far
+
+
+@pytest.mark.parametrize("held, trials", [(230, 400), (660, 400), (2800, 150)])
+def test_long_contained_pairs_share_a_piece(held, trials):
+    """A text and its copy with words appended, exactly at Jaccard 0.7."""
+    r, features, rows = random.Random(held), jaccard_join._features(1, 0.7, 0.02), []
+    for i in range(trials):
+        w = [f"{i}.{r.getrandbits(40)}" for _ in range(round(held / 0.7))]
+        rows += [(2 * i, " ".join(w[:held])), (2 * i + 1, " ".join(w))]
+    ids, texts = zip(*rows)
+    pieces = [set(np.frombuffer(p, np.uint64).tolist()) for b in features(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["doc_id", "text"])])) for p in b.column("pieces").to_pylist()]
+    assert np.mean([bool(x & y) for x, y in zip(pieces[::2], pieces[1::2])]) > 0.96
