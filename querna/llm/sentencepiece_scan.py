@@ -299,4 +299,14 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The ids of all documents, and the text that these give again."""
+    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+    def run(batches):
+        p = pieces(MODEL)
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                x = b.slice(s, 256)
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array([p.whole.decode(i or []) for i in x.column(2).to_pylist()], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from querna.llm import bloom_lm, jaccard_join, pii
+from querna.llm import bloom_lm, jaccard_join, pii, sentencepiece_scan
 
 from .conftest import make, prose
 
@@ -58,3 +58,11 @@ def test_long_contained_pairs_share_a_piece(held, trials):
     ids, texts = zip(*rows)
     pieces = [set(np.frombuffer(p, np.uint64).tolist()) for b in features(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["doc_id", "text"])])) for p in b.column("pieces").to_pylist()]
     assert np.mean([bool(x & y) for x, y in zip(pieces[::2], pieces[1::2])]) > 0.96
+
+
+def test_op6_decodes_all_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    p = sentencepiece_scan.pieces(sentencepiece_scan.MODEL)
+    got = {r.doc_id: r.decoded for r in sentencepiece_scan.op6_sentencepiece(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert got == {d.doc_id: p.whole.decode(p.whole.encode(d.text or "")) for d in docs}
