@@ -47,18 +47,19 @@ def symspell_index(terms: DataFrame, depth: int = 2) -> DataFrame:
     return terms.select(F.explode(fuzzy.deletes(F.col("term"), depth)).alias("del_key"), "term", "total_frequency")
 
 
-def symspell(queries: DataFrame, index: DataFrame, depth: int = 2, n: int = 10) -> DataFrame:
-    """(query, term, distance, total_frequency, rank): equal delete keys, then the true distance."""
+def symspell(queries: DataFrame, index: DataFrame, depth: int = 2, n: int | None = 10) -> DataFrame:
+    """(query, term, distance, total_frequency, rank): equal delete keys, then the true distance; all where n is None."""
     keys = queries.select("query", F.explode(fuzzy.deletes(F.col("query"), depth)).alias("del_key"))
     hit = keys.join(index, "del_key").select("query", "term", "total_frequency").distinct()
     hit = hit.withColumn("distance", F.levenshtein("query", "term")).where(F.col("distance") <= depth)
     w = Window.partitionBy("query").orderBy("distance", F.desc("total_frequency"), "term")
-    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    hit = hit.withColumn("rank", F.row_number().over(w))
+    return hit if n is None else hit.where(F.col("rank") <= n)
 
 
 def correct(queries: DataFrame, index: DataFrame, depth: int = 2) -> DataFrame:
     """(query, corrected, score, confidence, n_suggestions): best candidate by relevance score."""
-    hit = symspell(queries, index, depth, 50)
+    hit = symspell(queries, index, depth, None)
     hit = hit.withColumn("score", fuzzy.correction_score(F.col("query"), F.col("term"), F.col("total_frequency")))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "term")
     best = hit.withColumns({"place": F.row_number().over(w), "n_suggestions": F.count("*").over(Window.partitionBy("query"))}).where("place = 1")
