@@ -290,11 +290,47 @@ def test_neighbour_recall(spark):
     np.fill_diagonal(d, np.inf)
     true = {i: set(ids[np.argsort(row)[:10]]) for i, row in zip(ids, d)}
     got = collections.defaultdict(set)
-    for r in multi_index.op3_multi_index(spark, SF).collect():
+    for r in multi_index.neighbours(e).collect():
         got[r.vec_id].add(r.neighbour_id)
     assert np.mean([len(got[i] & true[i]) / 10 for i in ids]) >= 0.9 and all(len(v) == 10 for v in got.values())
 
 
+def test_multi_index_query_recall(spark):
+    """The registered query: every id divisible by 100 against all rows, by brute force."""
+    d = "/root/testdata/sf0.1"
+    p = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
+    x, ids = np.stack(p["embedding"]).astype(np.float64), p["vec_id"].to_numpy()
+    got = collections.defaultdict(dict)
+    for r in multi_index.op3_multi_index(spark, d).collect():
+        got[r.vec_id][r.neighbour_id] = r.distance
+    asked, hit = ids[ids % 100 == 0], []
+    assert set(got) == set(asked)
+    for i in asked:
+        dist = np.sqrt(((x - x[ids == i]) ** 2).sum(1))
+        dist[ids == i] = np.inf
+        hit.append(len(set(got[i]) & set(ids[np.argsort(dist, kind="stable")[:10]])) / 10)
+        assert all(abs(dist[ids == j][0] - v) < 1e-5 for j, v in got[i].items())
+    assert np.mean(hit) >= 0.9
+
+
+def test_multi_index_hot_cells(spark, monkeypatch):
+    """A third of all vectors alike, blocks and query cuts of a few rows: no neighbour is lost."""
+    monkeypatch.setattr(multi_index, "BLOCK_ENTRIES", 7)
+    monkeypatch.setattr(multi_index, "QUERY_ROWS", 5)
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(size=(150, 6)), 3)
+    x[:50] = x[0]
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = multi_index.neighbours(e, k=4, recall=1.0).collect()
+    got = {(v.vec_id, v.rank): v.neighbour_id for v in rows}
+    assert len(rows) == 600
+    x = x.astype(np.float32).astype(np.float64)
+    for i in range(150):
+        dist = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 6)
+        want = sorted((v, j) for j, v in enumerate(dist) if j != i)[:4]
+        assert [got[i, n] for n in range(1, 5)] == [j for _, j in want]
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     docs = {r.doc_id: r.text for r in table(spark, "documents").collect()}
