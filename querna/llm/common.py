@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from querna.session import reach_workers
 
@@ -19,10 +20,12 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset (tests,
-    notebooks on one machine) a temporary one is chosen and remembered."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset and all of Spark
+    runs in this process (tests, notebooks) a temporary one is chosen and remembered."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="querna-")
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -42,7 +45,17 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what ``table`` wrote, once nothing reads it any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(t.written_at)
+        at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def document_id() -> Column:
@@ -55,6 +68,25 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(document_id(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, whatever their names, so that none can clash."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row")
+
+
+def with_texts(done: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``row`` again, with the text replaced by ``new`` where that isn't null;
+    n_chars, where there is a numeric or string one, follows."""
+    out = []
+    for f in schema.fields:
+        old = F.col("row").getField(f.name)
+        if f.name == "text":
+            old = F.coalesce(F.col("new").cast(f.dataType), old)
+        elif f.name == "n_chars" and isinstance(f.dataType, T.NumericType | T.StringType):
+            old = F.when(F.col("new").isNull(), old).otherwise(F.length("new").cast(f.dataType))
+        out.append(old.alias(f.name))
+    return done.select(*out)
+
+
 def string_bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array without copying; nulls are empty."""
     if a.null_count:

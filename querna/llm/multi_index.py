@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from querna.session import reach_workers
 
-from .common import table
+from .common import drop, table
 
 ROUNDS = 6
 #: Centroids a half, so that the table of cells that goes to workers has a million numbers at most; beyond
@@ -248,6 +248,7 @@ def build(embeddings: DataFrame) -> Index:
     counts = np.zeros((len(books[0]), len(books[1])), np.int64)  # MOST_CENTROIDS ** 2 numbers at most
     for r in celled.groupBy("c1", "c2").count().collect():
         counts[r[0], r[1]] = r[2]
+    drop(vecs)
     return Index(books, counts, celled, d)
 
 

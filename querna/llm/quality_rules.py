@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, texts, whole_rows
 
 #: rule: (measure, bad if, good if); measures are defined below and in OP8_SQL alike.
 RULES = {
@@ -122,10 +122,15 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose posterior quality reaches the threshold."""
+    """The rows of ``docs``, unchanged, whose posterior quality reaches the threshold.
+
+    Null, empty and word-less texts have quality 0 and go; null doc_ids and repeated
+    rows are judged like all others; texts of any length are measured whole; an empty
+    table stays empty; columns may have any names.
+    """
     model = fit(with_votes(docs))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _measured(text))
+    body = docs.select(whole_rows(docs), _measured(text))
     return body.select("row", "words", *_votes()).where(posterior(model) >= threshold).select("row.*")
 
 
