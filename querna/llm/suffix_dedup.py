@@ -5,6 +5,10 @@ on its words alone, so equal windows of any two documents meet at one anchor.
 Runs of windows whose anchor occurs in several documents become segments, and
 segments meet by anchor.  This loses no window; what it leaves out cannot repeat.
 
+An anchor of more than HOT distinct segments (boilerplate in ever new contexts)
+is too much for one task: its windows are counted by hash instead, which finds the
+same ones.
+
 The segments of a bucket form a string collection over word ids.  Its
 Burrows-Wheeler transform and common prefixes are built column by column: each
 round prepends one word to every segment, finds the new suffixes' places from the
@@ -25,13 +29,16 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType as Kinds
 
 from . import textops as T
-from .common import cut, shared_dir, slices, string_bytes, table, texts
+from .common import cut, drop, shared_dir, slices, string_bytes, table, texts, whole_rows, with_texts
 
 GRAM = 24
 INDEX_BITS = np.uint64(28)
 SEGMENTS_PER_BUCKET = 20_000
+#: Distinct segments that an anchor may bring to a bucket.
+HOT = 20_000
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -44,7 +51,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(min_words: int):
-    """(anchor, doc_id, lo, hi): windows lo..hi of a document have this anchor."""
+    """(anchor, doc_id, text_id, lo, hi): windows lo..hi of a text have this anchor."""
     gram = min(GRAM, min_words)
     width = min_words - gram + 1
 
@@ -67,8 +74,8 @@ def _anchors(min_words: int):
             end = np.append(begin[1:], len(at)) - 1
             d = doc[s[begin]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g[at[begin]].view(np.int64)), b.column(0).take(pa.array(d)), pa.array((s[begin] - first[d]).astype(np.int32)), pa.array((s[end] - first[d]).astype(np.int32))],
-                ["anchor", "doc_id", "lo", "hi"],
+                [pa.array(g[at[begin]].view(np.int64)), b.column(0).take(pa.array(d)), b.column(2).take(pa.array(d)), pa.array((s[begin] - first[d]).astype(np.int32)), pa.array((s[end] - first[d]).astype(np.int32))],
+                ["anchor", "doc_id", "text_id", "lo", "hi"],
             )
 
     return run
@@ -82,13 +89,14 @@ def _segments(min_words: int):
             data, offs = string_bytes(b.column(1))
             h, first, _, _ = T.word_hashes(data, offs)
             w = (h >> np.uint64(32)).astype(np.uint32)
-            out: tuple[list, ...] = ([], [], [], [])
-            for i, hits in enumerate(b.column(2).to_pylist()):
-                doc = b.column(0)[i].as_py()
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for i, hits in enumerate(b.column(3).to_pylist()):
+                doc, text_id = b.column(0)[i].as_py(), b.column(2)[i].as_py()
                 for x in hits:
-                    out[0].append(x["anchor"]), out[1].append(doc), out[2].append(x["lo"])
-                    out[3].append(w[first[i] + x["lo"] : min(first[i] + x["hi"] + min_words, first[i + 1])].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["anchor", "doc_id", "lo", "words"])
+                    out[0].append(x["anchor"]), out[1].append(doc), out[2].append(text_id), out[3].append(x["lo"])
+                    out[4].append(w[first[i] + x["lo"] : min(first[i] + x["hi"] + min_words, first[i + 1])].tobytes())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["anchor", "doc_id", "text_id", "lo", "words"])
 
     return run
 
@@ -137,7 +145,7 @@ def _range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 def column_wise(strings: list[np.ndarray], store: Columns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, suffix length, common prefix with the suffix before) in suffix order.
 
-    Symbols are positive integers; strings have 255 symbols at most.  Round j puts
+    Symbols are positive integers; strings may have any length.  Round j puts
     the suffix of length j of every string that long into its place: all suffixes
     ordered by the symbol before them, then by their own order, are the suffixes
     that are one longer, so a new one's place is its row's rank in that order.
@@ -147,7 +155,8 @@ def column_wise(strings: list[np.ndarray], store: Columns) -> tuple[np.ndarray,
     flat = np.concatenate([*(s[::-1] for s in strings), np.zeros(1, np.uint32)])
     start = np.cumsum(lens) - lens
     before = lambda j: np.where(lens > j, flat[np.minimum(start + j, len(flat) - 1)], 0).astype(np.uint32)
-    store.write(bwt=before(0), lcp=np.zeros(m, np.uint8), string=np.arange(m, dtype=np.uint32), length=np.zeros(m, np.uint8))
+    small = np.min_scalar_type(int(lens.max(initial=0)) + 1)
+    store.write(bwt=before(0), lcp=np.zeros(m, small), string=np.arange(m, dtype=np.uint32), length=np.zeros(m, small))
     row = np.arange(m)  # where the newest suffix of each string stands
     live = np.flatnonzero(lens > 0)
     for j in range(1, int(lens.max(initial=0)) + 1):
@@ -163,7 +172,7 @@ def column_wise(strings: list[np.ndarray], store: Columns) -> tuple[np.ndarray,
         touched = touched[touched < len(order)]
         here, prev = order[touched], order[touched - 1]
         same = (touched > 0) & (bwt[here] == bwt[prev])
-        value = np.zeros(len(touched), np.uint8)
+        value = np.zeros(len(touched), small)
         value[same] = 1 + _range_min(lcp, prev[same] + 1, here[same])
         new = np.zeros(m + len(order), bool)
         new[place] = True
@@ -175,9 +184,9 @@ def column_wise(strings: list[np.ndarray], store: Columns) -> tuple[np.ndarray,
             out[~new] = old
             return out
 
-        lcp = merged(lcp, np.zeros(len(live), np.uint8))
+        lcp = merged(lcp, np.zeros(len(live), small))
         lcp[m + touched] = value
-        store.write(bwt=merged(bwt, before(j)[by_place]), lcp=lcp, string=merged(store.read("string"), by_place.astype(np.uint32)), length=merged(store.read("length"), np.full(len(live), j, np.uint8)))
+        store.write(bwt=merged(bwt, before(j)[by_place]), lcp=lcp, string=merged(store.read("string"), by_place.astype(np.uint32)), length=merged(store.read("length"), np.full(len(live), j, small)))
         row[live] = place
         # older rows moved; only the newest are needed again
         live = live[lens[live] > j]
@@ -216,13 +225,68 @@ def _runs(min_words: int, folder: str):
     return run
 
 
+def _windows(min_words: int):
+    """(anchor, seg, doc_id, at, window): every window of a segment and its hash."""
+
+    def run(batches):
+        for b in batches:
+            raw = b.column(3).to_pylist()
+            w = [T.gram_hashes(np.frombuffer(x, np.uint32).astype(np.uint64), min_words) for x in raw]
+            many = np.array([len(x) for x in w], np.int64)
+            row = pa.array(np.repeat(np.arange(len(w)), many))
+            at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            flat = np.concatenate(w) if w else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(row) for i in range(3)), pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64))], ["anchor", "seg", "doc_id", "at", "window"])
+
+    return run
+
+
+def _hot_runs(segments: DataFrame, min_words: int) -> DataFrame:
+    """What _runs gives, window by window, from counts by hash: no task holds an anchor's segments."""
+    w = segments.select("anchor", "seg", "doc_id", "words").mapInArrow(_windows(min_words), "anchor long, seg long, doc_id long, at int, window long")
+    ends = w.groupBy("anchor", "window").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most")).where("keeper != most").drop("most")
+    return w.select("anchor", "seg", "at", "window").distinct().join(ends, ["anchor", "window"]).select("anchor", "seg", F.col("at").alias("begin"), F.col("at").alias("end"), "keeper")
+
+
 def _merge(spans: DataFrame) -> DataFrame:
-    """Overlapping or touching spans of a document as one."""
-    w = Window.partitionBy("doc_id", "removed").orderBy("start_word", "end_word")
+    """Overlapping or touching spans of a text as one."""
+    w = Window.partitionBy("doc_id", "text_id", "removed").orderBy("start_word", "end_word")
     far = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     s = spans.withColumn("island", F.when(far >= F.col("start_word"), 0).otherwise(1))
     s = s.withColumn("island", F.sum("island").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("doc_id", "removed", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("island")
+    return s.groupBy("doc_id", "text_id", "removed", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("island")
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_id): texts under one doc_id are told apart by their hash."""
+    return texts(docs).where("doc_id is not null").withColumn("text_id", F.xxhash64("text"))
+
+
+def _text_spans(docs: DataFrame, min_words: int) -> DataFrame:
+    """``repeated_passages`` with the text_id of each."""
+    if min_words < 1:
+        raise ValueError("min_words must be positive")
+    spark = docs.sparkSession
+    t = _identified(docs)
+    anchors = t.mapInArrow(_anchors(min_words), "anchor long, doc_id long, text_id long, lo int, hi int")
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x != y").select("anchor")
+    hits = table(anchors.join(shared, "anchor").groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("anchor", "lo", "hi")).alias("hits")), "anchors")
+    segments = t.join(hits, ["doc_id", "text_id"]).select("doc_id", "text", "text_id", "hits").mapInArrow(_segments(min_words), "anchor long, doc_id long, text_id long, lo int, words binary")
+    segments = table(segments.withColumn("seg", F.xxhash64("anchor", "words")), "segments")
+    unique = table(segments.groupBy("anchor", "seg").agg(F.first("words").alias("words"), F.min("doc_id").alias("lo_doc"), F.max("doc_id").alias("hi_doc")), "unique")
+    hot = table(unique.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot")
+    count = unique.count()
+    buckets = max(1, math.ceil(count / SEGMENTS_PER_BUCKET))
+    folder = f"{shared_dir(spark).rstrip('/')}/columns-{uuid.uuid4().hex}"
+    few = unique.join(hot, "anchor", "left_anti")
+    runs = few.groupBy(F.pmod(F.xxhash64(F.lit(7), "anchor"), F.lit(buckets)).alias("bucket")).applyInPandas(_runs(min_words, folder), "anchor long, seg long, begin int, end int, keeper long")
+    if not hot.isEmpty():
+        runs = runs.unionByName(_hot_runs(segments.join(hot, "anchor", "left_semi"), min_words))
+    runs = cut(runs)
+    drop(hits, unique, hot)
+    found = segments.select("anchor", "seg", "doc_id", "text_id", "lo").join(runs, ["anchor", "seg"])
+    found = found.select("doc_id", "text_id", (F.col("lo") + F.col("begin")).alias("start_word"), (F.col("lo") + F.col("end") + min_words).alias("end_word"), (F.col("doc_id") != F.col("keeper")).alias("cut")).distinct()
+    return _merge(found.select("doc_id", "text_id", F.explode(F.when(F.col("cut"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("removed"), "start_word", "end_word"))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -232,26 +296,13 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     two documents or more; rows with removed = true cover those whose least doc_id
     is another one, so that cutting them leaves each passage in one document.
     Words are separated by ASCII white space and compared exactly.  A passage that
-    repeats inside one document only does not count; rows that repeat a doc_id are
-    one document; null doc_ids, null and short texts have no spans; an empty table
-    gives no rows.
+    repeats inside one document only does not count.  Rows that repeat a doc_id are
+    one document: each of its texts has its spans, those of equal texts once.  Null
+    doc_ids, null, empty and short texts have no spans; texts of any length are
+    searched whole; the keeper is the least doc_id, so there are no ties; an empty
+    table gives no rows; columns other than doc_id and text are ignored.
     """
-    spark = docs.sparkSession
-    t = texts(docs).where("doc_id is not null")
-    anchors = t.mapInArrow(_anchors(min_words), "anchor long, doc_id long, lo int, hi int")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x != y").select("anchor")
-    hits = table(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "lo", "hi")).alias("hits")), "anchors")
-    segments = t.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_segments(min_words), "anchor long, doc_id long, lo int, words binary")
-    segments = table(segments.withColumn("seg", F.xxhash64("anchor", "words")), "segments")
-    count = segments.agg(F.approx_count_distinct("seg")).first()[0]
-    buckets = max(1, math.ceil(count / SEGMENTS_PER_BUCKET))
-    unique = segments.groupBy("anchor", "seg").agg(F.first("words").alias("words"), F.min("doc_id").alias("lo_doc"), F.max("doc_id").alias("hi_doc"))
-    folder = f"{shared_dir(spark).rstrip('/')}/columns-{uuid.uuid4().hex}"
-    runs = unique.groupBy(F.pmod(F.xxhash64(F.lit(7), "anchor"), F.lit(buckets)).alias("bucket")).applyInPandas(_runs(min_words, folder), "anchor long, seg long, begin int, end int, keeper long")
-    runs = cut(runs)
-    found = segments.select("anchor", "seg", "doc_id", "lo").join(runs, ["anchor", "seg"])
-    found = found.select("doc_id", (F.col("lo") + F.col("begin")).alias("start_word"), (F.col("lo") + F.col("end") + min_words).alias("end_word"), (F.col("doc_id") != F.col("keeper")).alias("cut")).distinct()
-    return _merge(found.select("doc_id", F.explode(F.when(F.col("cut"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("removed"), "start_word", "end_word"))
+    return _text_spans(docs, min_words).drop("text_id").distinct()
 
 
 def _cut(text: str, spans: list) -> str:
@@ -266,25 +317,28 @@ def _cut(text: str, spans: list) -> str:
 
 
 def _cut_all(batches):
-    for b in batches:
-        out = [_cut(t.as_py(), s.as_py()) for t, s in zip(b.column(1), b.column(2))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["__id", "__text"])
+    """(row, new): the text without its spans where it has any, else null."""
+    for whole in batches:
+        for b in slices([whole]):
+            out = [None if s is None else _cut(t or "", s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["row", "new"])
 
 
 def cut_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """``docs`` without the passages that an earlier document holds too.
+    """``docs`` without the passages that an earlier document holds too, row by row.
 
-    n_chars, where there is one, follows; a document of which nothing is left goes;
-    rows without such passages, null doc_ids among them, stay as they were.
+    n_chars, where there is a numeric or string one, follows; a document of which
+    nothing is left goes.  Rows without such passages, null doc_ids and null, empty
+    and short texts among them, stay as they were; rows that repeat a doc_id are each
+    cut by the spans of their own text; an empty table stays empty; texts of any
+    length are cut whole; columns may have any names.
     """
-    spans = repeated_passages(docs, min_words).where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    spans = _text_spans(docs, min_words).where("removed").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     spans = table(spans, "spans")
-    changed = texts(docs).join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_cut_all, "__id long, __text string")
-    changed = changed.groupBy("__id").agg(F.first("__text").alias("__text"))
-    joined = docs.join(changed, docs["doc_id"] == F.col("__id"), "left").where("__id is null or trim(__text) != ''")
-    text = F.coalesce("__text", docs["text"])
-    cols = {"text": text} | ({"n_chars": F.when(F.col("__text").isNull(), docs["n_chars"]).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.select(*(cols.get(c, docs[c]).alias(c) for c in docs.columns))
+    rows = docs.select(whole_rows(docs), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    joined = rows.withColumn("text_id", F.xxhash64("text")).join(spans, ["doc_id", "text_id"], "left").select("row", "text", "spans")
+    done = joined.mapInArrow(_cut_all, Kinds().add("row", docs.schema).add("new", "string")).where("new is null or trim(new) != ''")
+    return with_texts(done, docs.schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
