@@ -3,6 +3,12 @@
 A line's features, and those of the lines before and after it, give the score of
 its being good; transitions join neighbouring labels.  Forward-backward marginals,
 weighted by line length, make up the document's quality.
+
+Labels are known of documents alone, so those of lines are latent: a bad document
+has one bad line at least, a good one is good over most of its length.  Fitting
+alternates between the lines' labels under these constraints and the field, first
+on the lines' own features, then with neighbours and transitions, on the documents
+and on good ones into which lines of bad ones are spliced, whose labels are known.
 """
 
 from __future__ import annotations
@@ -19,6 +25,8 @@ from .common import slices, string_bytes, texts
 
 FEATURES = ["short", "long", "upper", "digit", "symbol", "shout", "stutter", "repeat", "word_length", "no_stop", "empty", "many_symbols", "many_upper", "many_stutters"]
 _K = len(FEATURES)
+#: Alternations of labels and field; below this marginal a good document's line is surely bad.
+EM_ROUNDS, SURE = 3, 0.1
 _CLASS = np.zeros((256, 5), np.int64)
 _CLASS[ord("A") : ord("Z") + 1, 0] = 1
 _CLASS[ord("0") : ord("9") + 1, 1] = 1
@@ -84,6 +92,7 @@ def with_neighbours(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Crf:
     weights: np.ndarray  # of a line's being good rather than bad
     trans: np.ndarray  # [label before, label]
+    threshold: float = 0.5  # of a document's quality
 
     def marginals(self, e: np.ndarray, first: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """P(good) of every line; with pairs, also the expected transitions.  All documents advance together."""
@@ -129,40 +138,100 @@ class Crf:
         return self
 
 
+def latent(p: np.ndarray, size: np.ndarray, first: np.ndarray, doc_good: np.ndarray) -> np.ndarray:
+    """Line labels from marginals: in a bad document the least line is bad whatever it is; in a
+    good one lines are bad where they surely are, and those of half its length at most, the worst first."""
+    y = (p >= 0.5).astype(np.int64)
+    for d, good in enumerate(doc_good):
+        s, e = first[d], first[d + 1]
+        if s == e:
+            continue
+        if not good:
+            y[s + int(p[s:e].argmin())] = 0
+            continue
+        order = np.argsort(p[s:e], kind="stable")
+        room = np.cumsum(size[s:e][order]) <= size[s:e].sum() / 2
+        y[s:e] = 1
+        y[s + order[room & (p[s:e][order] < SURE)]] = 0
+    return y
+
+
+def spliced(x: np.ndarray, y: np.ndarray, first: np.ndarray, doc_good: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, labels, first) of good documents, each with a run of a bad document's bad lines put in."""
+    r = np.random.default_rng(seed)
+    bad = [np.flatnonzero(y[s:e] == 0) + s for s, e, g in zip(first, first[1:], doc_good) if not g]
+    bad = [b for b in bad if len(b)]
+    xs, ys = [np.zeros((0, x.shape[1]))], [np.zeros(0, np.int64)]
+    for d in np.flatnonzero(doc_good) if bad else []:
+        s, e = first[d], first[d + 1]
+        lines = bad[r.integers(len(bad))]
+        lines = lines[(start := r.integers(len(lines))) : start + 1 + r.integers(3)]
+        at = s + r.integers(e - s + 1)
+        xs.append(np.concatenate([x[s:at], x[lines], x[at:e]]))
+        ys.append(np.concatenate([y[s:at], y[lines], y[at:e]]))
+    return np.concatenate(xs), np.concatenate(ys), np.append(0, np.cumsum([len(v) for v in ys[1:]])).astype(np.int64)
+
+
+def fit_documents(xs: list[np.ndarray], sizes: list[np.ndarray], doc_good: np.ndarray, rounds: int = EM_ROUNDS) -> Crf:
+    """The field fitted on documents' lines (own features, lengths in bytes) and labels."""
+    first = np.append(0, np.cumsum([len(x) for x in xs]))
+    x, size = np.concatenate(xs), np.concatenate(sizes)
+    y = np.repeat(doc_good.astype(np.int64), np.diff(first))
+    # lines alone: neither neighbours nor transitions, so a clean line of a bad document looks as clean as any
+    own = Crf(np.zeros(_K + 1), np.zeros((2, 2)))
+    alone, lone = np.concatenate([x, np.ones((len(x), 1))], 1), np.arange(len(x) + 1)
+    for _ in range(2):
+        own.fit(alone, lone, y)
+        y = latent(own.marginals(alone @ own.weights, lone)[0], size, first, doc_good)
+    crf = Crf(np.zeros(3 * _K + 1), np.zeros((2, 2)))
+    full = with_neighbours(x, first)
+    for i in range(rounds):
+        sx, sy, sf = spliced(x, y, first, doc_good, i)
+        crf.fit(np.concatenate([full, with_neighbours(sx, sf)]), np.append(first, len(x) + sf[1:]), np.concatenate([y, sy]), 40 if i else 120)
+        p = crf.marginals(full @ crf.weights, first)[0]
+        y = latent(p, size, first, doc_good)
+    weight = np.array([(p[s:e] * size[s:e]).sum() / max(1, size[s:e].sum()) for s, e in zip(first, first[1:])])
+    if 0 < doc_good.mean() < 1:  # within a thousandth of the least error over the fitted documents, nearest to one half
+        bounds = np.arange(0.05, 0.96, 0.05)
+        wrong = np.array([((weight >= b) != (doc_good > 0)).sum() for b in bounds])
+        fair = bounds[wrong <= wrong.min() + 0.001 * len(weight)]
+        crf.threshold = round(float(fair[np.abs(fair - 0.5).argmin()]), 6)
+    return crf
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_docs: int = 3000) -> Crf:
-    """Fits on at most fit_docs labelled documents (those of the least hashed doc_id), whose
-    lines take their document's label.  Without any, the model knows nothing and says 0.5."""
+    """Fits on at most fit_docs labelled documents (those of the least hashed doc_id).
+    Without any, the model knows nothing and says 0.5."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    rows = texts(docs).join(F.broadcast(few), "doc_id").orderBy("doc_id", "text")
+    rows = texts(docs).join(F.broadcast(few), "doc_id")
 
     def lines(batches):
         for b in slices(batches):
-            x, _, first = line_features(*string_bytes(b.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([x[s:e].astype(np.float32).tobytes() for s, e in zip(first, first[1:])], pa.binary())], ["doc_id", "quality", "x"]
-            )
+            x, size, first = line_features(*string_bytes(b.column(1)))
+            raw = [(x[s:e].astype(np.float32).tobytes(), size[s:e].astype(np.int64).tobytes()) for s, e in zip(first, first[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(v, pa.binary()) for v in zip(*raw))], ["doc_id", "quality", "x", "size"])
 
-    got = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(lines, "doc_id long, quality int, x binary").collect()
+    got = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(lines, "doc_id long, quality int, x binary, size binary").collect()
     got.sort(key=lambda r: (r[0], r[2]))
-    crf = Crf(np.zeros(3 * _K + 1), np.zeros((2, 2)))
-    if got:
-        xs = [np.frombuffer(r[2], np.float32).reshape(-1, _K).astype(np.float64) for r in got]
-        first = np.append(0, np.cumsum([len(x) for x in xs]))
-        y = np.repeat([int(r[1] > 0) for r in got], np.diff(first))
-        crf.fit(with_neighbours(np.concatenate(xs), first), first, y)
-    return crf
+    if not got:
+        return Crf(np.zeros(3 * _K + 1), np.zeros((2, 2)))
+    xs = [np.frombuffer(r[2], np.float32).reshape(-1, _K).astype(np.float64) for r in got]
+    return fit_documents(xs, [np.frombuffer(r[3], np.int64) for r in got], np.array([int(r[1] > 0) for r in got]))
 
 
-def classify(docs: DataFrame, crf: Crf, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, crf: Crf, threshold: float | None = None) -> DataFrame:
     """(doc_id, n_lines, n_bad, line_good, quality, keep), one row a row of ``docs``.
 
     line_good tells for every line, split at newlines, whether its marginal reaches
-    one half; quality is the mean marginal weighted by line length in bytes.  Null
-    and empty texts have one empty line and quality 0; rows with a null doc_id and
-    repeated rows are classified like all others; an empty table gives no rows;
-    columns other than doc_id and text are ignored.
+    one half (ties are good); quality is the mean marginal weighted by line length in
+    bytes, and keeps where it reaches the threshold, the model's unless one is given.
+    Null and empty texts have one empty line and quality 0; rows with a null doc_id
+    and repeated rows are classified like all others; texts of any length and number
+    of lines are read whole; an empty table gives no rows; columns other than doc_id
+    and text are ignored.
     """
+    threshold = crf.threshold if threshold is None else threshold
 
     def run(batches):
         for b in slices(batches):
