@@ -1,4 +1,4 @@
-"""The training-data queries and their SQL."""
+"""The training-data queries and their SQL; the pipeline is registered beside them from its own module."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import bloom_lm as op4
 from . import jaccard_join as op5
 from . import line_crf as op1
@@ -22,7 +20,6 @@ from . import suffix_dedup as op10
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_line_crf": op1.op1_line_crf,
         "op2_packing": op2.op2_packing,
         "op3_multi_index": op3.op3_multi_index,

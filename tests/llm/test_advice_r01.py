@@ -26,7 +26,7 @@ def test_candidates_are_all_that_the_generators_match():
     texts = [pii._example(r)[0] for _ in range(300)]
     texts += ["".join(r.choice([*bits, "w" * r.randrange(90), " " * r.randrange(60), "lorem ipsum " * r.randrange(15)]) for _ in range(r.randrange(1, 12))) for _ in range(1000)]
     for t in texts:
-        assert set(pii.candidates(t)) == {(k, *m.span()) for k, p in pii.GENERATORS for m in p.finditer(t)}
+        assert set(pii.candidates(t)) == {(k, *m.span()) for k, p in pii.GENERATORS + pii.BLOCKS for m in p.finditer(t)}
 
 
 def test_pii_recall_over_all_generated_spans():
@@ -48,16 +48,29 @@ def test_lm_beyond_the_limit_reads_the_same_filter(spark):
         assert near == far
 
 
-@pytest.mark.parametrize("held, trials", [(230, 400), (660, 400), (2800, 150)])
-def test_long_contained_pairs_share_a_piece(held, trials):
-    """A text and its copy with words appended, exactly at Jaccard 0.7."""
-    r, features, rows = random.Random(held), jaccard_join._features(1, 0.7, 0.02), []
+@pytest.mark.parametrize("held, trials", [(8, 300), (230, 200), (660, 200), (2800, 60)])
+@pytest.mark.parametrize("n", [1, 3])
+@pytest.mark.parametrize("how", ["contained", "equal"])
+def test_pairs_at_the_threshold_share_a_piece(held, trials, n, how):
+    """Sets exactly at or just above the threshold, of equal sizes or one holding the other: none is missed."""
+    r, t = random.Random(held), jaccard_join.THRESHOLD
+    bands = jaccard_join.size_bands(t)
     for i in range(trials):
-        w = [f"{i}.{r.getrandbits(40)}" for _ in range(round(held / 0.7))]
-        rows += [(2 * i, " ".join(w[:held])), (2 * i + 1, " ".join(w))]
-    ids, texts = zip(*rows)
-    pieces = [set(np.frombuffer(p, np.uint64).tolist()) for b in features(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["doc_id", "text"])])) for p in b.column("pieces").to_pylist()]
-    assert np.mean([bool(x & y) for x, y in zip(pieces[::2], pieces[1::2])]) > 0.96
+        if how == "contained":
+            w = [f"{i}.{r.getrandbits(40)}" for _ in range(int(held / t))]
+            pair = w[:held], w
+        else:
+            both = [f"{i}.{r.getrandbits(40)}" for _ in range(held)]
+            own = [[f"{s}{i}.{r.getrandbits(40)}" for _ in range(int(held * (1 - t) / 2 / t) - n)] for s in "ab"]
+            pair = both + own[0], both + own[1]
+        texts = pa.array([" ".join(p) for p in pair])
+        key = jaccard_join._token_keys(pa.RecordBatch.from_arrays([pa.array([0, 1]), texts], ["doc_id", "text"]), n)
+        sets = [set((key[key >> np.uint64(48) == d] & jaccard_join.TOKEN).tolist()) for d in (0, 1)]
+        if len(sets[0] & sets[1]) < t * len(sets[0] | sets[1]) - 1e-9:
+            continue
+        frequent = np.sort(np.array(r.sample(sorted(sets[0] | sets[1]), len(sets[0]) // 2), np.uint64))
+        k, o = jaccard_join._pieces(key, 2, t, bands, frequent)
+        assert set(k[o == 0].tolist()) & set(k[o == 1].tolist())
 
 
 def test_op6_decodes_all_documents(spark):

@@ -31,9 +31,41 @@ def test_empty_table(empty, n):
     assert (PER_ROW | OTHERS)[n](empty).collect() == []
 
 
-@pytest.mark.parametrize("n", OTHERS)
-def test_hard_rows(hard, n):
-    assert OTHERS[n](hard).count() >= 0
+def test_packing_hard_rows(hard):
+    got = sorted((-1 if r.doc_id is None else r.doc_id) for r in packing.pack(hard).where("piece = 0").collect())
+    assert got == sorted((-1 if r.doc_id is None else r.doc_id) for r in hard.select("doc_id").collect())
+
+
+def test_groups_and_classes_of_hard_rows(hard):
+    got = sorted((r.doc_id, r.group_id, r.class_id, r.n_links) for r in jaccard_join.near_duplicate_groups(hard).collect())
+    assert got == [(1, 1, 1, 1), (2, 1, 1, 1), (9, 1, 9, 1)]
+
+
+def test_pii_of_hard_rows(hard):
+    assert pii.find_pii(hard).collect() == []
+    assert sorted(map(str, pii.redact(hard).collect())) == sorted(map(str, hard.collect()))
+
+
+def test_passages_of_hard_rows(hard):
+    got = sorted((r.doc_id, r.removed, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(hard).collect())
+    assert got == [(1, False, 0, 80), (2, False, 0, 80), (2, True, 0, 80), (9, False, 0, 80), (9, True, 0, 80)]
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, (r.text or "")[:4]) for r in suffix_dedup.cut_passages(hard).collect())
+    whole = sorted((-1 if r.doc_id is None else r.doc_id, (r.text or "")[:4]) for r in hard.collect() if r.doc_id not in (2, 9))
+    assert kept == sorted([*whole, (9, "tail")]) or kept == sorted([*whole, (9, " tai")])
+
+
+def test_passages_with_other_kinds_of_n_chars(spark):
+    p = " ".join(f"w{i}" for i in range(60))
+    docs = make(spark, [(1, p), (2, p + " tail")]).withColumn("n_chars", F.lit("many"))
+    assert {r.doc_id: r.n_chars for r in suffix_dedup.cut_passages(docs).collect()} == {1: "many", 2: str(len("tail"))}
+    assert {r.n_chars for r in pii.redact(docs).collect()} == {"many"}
+
+
+def test_decode_hard_rows(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (None, []), (3, [1, 2]), (3, [1, 2])], "doc_id long, ids array<int>")
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in sentencepiece_scan.decode(rows).collect())
+    assert [i for i, _ in got] == [-1, 1, 2, 3, 3] and [t for _, t in got][:3] == ["", "", ""]
+    assert sentencepiece_scan.decode(rows.limit(0)).collect() == []
 
 
 def test_wordless_quality_is_zero(hard):
