@@ -11,27 +11,47 @@ from querna.llm.common import shared_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised rules reject go."""
+    """Documents that the weakly supervised rules reject go.
+
+    Null doc_ids, null, empty and very long texts, repeated rows, ties, clashing columns and
+    empty tables are as in ``quality_rules.filter_quality``.
+    """
     return quality_rules.filter_quality(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays.
+
+    Null doc_ids, null, empty and very long texts, repeated rows, ties, clashing columns and
+    empty tables are as in ``jaccard_join.drop_near_duplicates``.
+    """
     return jaccard_join.drop_near_duplicates(docs)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more stay in one document."""
+    """Passages of 50 words or more stay in one document.
+
+    Null doc_ids, null, empty and very long texts, repeated rows, ties, clashing columns and
+    empty tables are as in ``suffix_dedup.cut_passages``.
+    """
     return suffix_dedup.cut_passages(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets are replaced by their kind."""
+    """Personal data and secrets are replaced by their kind.
+
+    Null doc_ids, null, empty and very long texts, repeated rows, ties, clashing columns and
+    empty tables are as in ``pii.redact``.
+    """
     return pii.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of neighbouring documents along the curve."""
+    """Sequences of neighbouring documents along the curve.
+
+    Null doc_ids, null, empty and very long texts, repeated rows, ties, clashing columns and
+    empty tables are as in ``packing.pack``.
+    """
     return packing.pack(docs)
 
 
