@@ -14,6 +14,7 @@ from querna.operators import index as I
 from querna.operators import monitor, schema, search, suggest, textsearch, vector
 from querna.plans import predicates as P
 from querna.plans import query as Q
+from querna.session import shared_folder
 from querna.sources import catalog, store, synthetic
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +41,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-# --- corpus views -----------------------------------------------------------------------------------------
+# corpus views
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -89,6 +90,21 @@ def _sim(a: str, b: str) -> str:
     return f"coalesce(len(list_intersect({_grams(a)}, {_grams(b)})) / nullif(len(list_distinct(list_concat({_grams(a)}, {_grams(b)}))), 0), 0)"
 
 
+def _wsim(q: str, c: str) -> str:
+    """The greatest similarity of q to any run of neighbouring words."""
+    ws = f"list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda z: z <> '')"
+    runs = f"flatten(list_transform(range(1, len({ws}) + 1), lambda i: list_transform(range(i, len({ws}) + 1), lambda j: array_to_string(({ws})[i:j], ' '))))"
+    return f"coalesce(list_max(list_transform({runs}, lambda r: {_sim(q, 'r')})), 0)"
+
+
+def _soundex(c: str) -> str:
+    """Letters to digits, h and w left out, runs as one, vowels dropped; for words that begin with another letter than h and w."""
+    code = f"translate(replace(replace(upper({c}), 'H', ''), 'W', ''), 'ABCDEFGIJKLMNOPQRSTUVXYZ', '012301202245501262301202')"
+    for k in range(7):
+        code = f"regexp_replace({code}, '{k}+', '{k}', 'g')"
+    return f"rpad(substring(upper({c}), 1, 1) || substring(replace(substring({code}, 2), '0', ''), 1, 3), 4, '0')"
+
+
 def _chars(c: str) -> str:
     return f"list_distinct(string_split({c}, ''))"
 
@@ -106,7 +122,7 @@ def _r(c: Column, n: int = 6) -> Column:
     return F.round(c, n)
 
 
-# --- analysis ---------------------------------------------------------------------------------------------
+# analysis
 
 
 @_query(f"select doc_id, {_std('text')} as tokens from documents")
@@ -171,7 +187,7 @@ def q_sanitize_tokens(spark, d):
     return _t(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("raw")).distinct().select("raw", analysis.clean_token(F.col("raw")).alias("token"))
 
 
-# --- index and scoring ------------------------------------------------------------------------------------
+# index and scoring
 
 _POST = f"(select document_id, field, term, count(*) as tf, any_value(n) as field_length from (select document_id, field, unnest(ts) as term, len(ts) as n from (select document_id, 'name' as field, {_tok('name')} as ts from {_PARTS} union all select document_id, 'category_name', {_tok('category_name')} from {_PARTS})) group by 1, 2, 3)"
 
@@ -238,7 +254,11 @@ def q_bm25_rerank_blend(spark, d):
     return I.blend(hit).select("document_id", _r(F.col("final_score"), 4).alias("final_score"))
 
 
-@_query()
+_AT = f"(select doc_id, x, row_number() over (partition by doc_id order by i) as k, i as pos from (select doc_id, unnest(ts) as x, generate_subscripts(ts, 1) - 1 as i from (select doc_id, {_tok('text')} as ts from documents)) where x in ('thea', 'oner'))"
+
+
+@_query(f"""with w as (select doc_id, pos, max(case when x = 'thea' then pos end) over s as a, max(case when x = 'oner' then pos end) over s as b from {_AT} window s as (partition by doc_id order by pos rows unbounded preceding)),
+c as (select doc_id, least(a, b) as low, min(pos) as high from w where a is not null and b is not null group by 1, 2) select doc_id as document_id, round(sum(1.0::double / (high - low + 1)), 6) as score from c group by 1""")
 def q_cover_density(spark, d):
     p = I.postings(_t(spark, d, "documents").withColumnRenamed("doc_id", "document_id"), ["text"], positions=True)
     return I.cover_density(p, ["thea", "oner"]).withColumn("score", _r(F.col("score")))
@@ -255,7 +275,7 @@ def q_field_weights(spark, d):
     return spark.createDataFrame(list(w.items()), "field string, weight double").withColumn("weight", F.col("weight").cast("decimal(3,1)"))
 
 
-# --- matching ---------------------------------------------------------------------------------------------
+# matching
 
 
 def _match(name: str, request: search.Request, where: str, rank: str = "case when lower(name) = '{q}' then 1000.0 when starts_with(lower(name), '{q}') then 500.0 else 100.0 end"):
@@ -275,10 +295,10 @@ _match("match_and", search.Request({"match": {"name": "small bolt"}}), f"list_ha
 _match("match_or", search.Request({"match": {"name": {"query": "small bolt", "operator": "or"}}}), f"list_has_any({_std('name')}, ['small', 'bolt'])")
 _match("term_exact", search.Request({"term": {"name": "gear"}}), f"list_contains({_std('name')}, 'gear')")
 _match("phrase", search.Request('"red ring"'), r"regexp_matches(name, '\bred ring\b')", "100.0")
-_match("wildcard_prefix", search.Request({"wildcard": {"field": "name", "value": "sm*"}}), "lower(name) like 'sm%'", f"1000 * {_sim(chr(39) + 'sm' + chr(39), 'name')}")
-_match("wildcard_suffix", search.Request({"wildcard": {"name": {"value": "*ring"}}}), "lower(name) like '%ring'", f"1000 * {_sim(chr(39) + 'ring' + chr(39), 'name')}")
-_match("wildcard_contains", search.Request("*d g*"), "lower(name) like '%d g%'", f"1000 * {_sim(chr(39) + 'd g' + chr(39), 'name')}")
-_match("wildcard_single", search.Request({"wildcard": {"field": "name", "value": "?ed ri?g"}}), "lower(name) like '_ed ri_g'", f"1000 * {_sim(chr(39) + 'ed rig' + chr(39), 'name')}")
+_match("wildcard_prefix", search.Request({"wildcard": {"field": "name", "value": "sm*"}}), "lower(name) like 'sm%'", f"1000 * {_wsim(chr(39) + 'sm' + chr(39), 'name')}")
+_match("wildcard_suffix", search.Request({"wildcard": {"name": {"value": "*ring"}}}), "lower(name) like '%ring'", f"1000 * {_wsim(chr(39) + 'ring' + chr(39), 'name')}")
+_match("wildcard_contains", search.Request("*d g*"), "lower(name) like '%d g%'", f"1000 * {_wsim(chr(39) + 'd g' + chr(39), 'name')}")
+_match("wildcard_single", search.Request({"wildcard": {"field": "name", "value": "?ed ri?g"}}), "lower(name) like '_ed ri_g'", f"1000 * {_wsim(chr(39) + 'ed rig' + chr(39), 'name')}")
 _match("query_bool", search.Request({"bool": {"must": [{"match": {"name": "bolt"}}], "should": [{"term": {"name": "red"}}], "must_not": [{"term": {"name": "old"}}]}}), f"list_contains({_std('name')}, 'bolt') and not list_contains({_std('name')}, 'old')", "case when lower(name) = 'bolt red' then 1000 when starts_with(lower(name), 'bolt red') then 500 else 100 end")
 _match("query_range", search.Request({"range": {"price": {"gte": 950, "lt": 1000}}}), "price >= 950 and price < 1000", "case when name = '' then 1000 when starts_with(name, '') then 500 else 100 end")
 _match("boost_clauses", search.Request({"bool": {"should": [{"match": {"field": "name^3", "value": "red"}}, {"match": {"field": "name", "value": "ring"}}]}}, rank="boost"), f"list_has_any({_std('name')}, ['red', 'ring'])", f"case when list_contains({_std('name')}, 'red') then 3 else 0 end + case when list_contains({_std('name')}, 'ring') then 1 else 0 end")
@@ -366,7 +386,7 @@ def q_hit_envelope(spark, d):
     return parts(spark, d).select("document_id", F.lit("part").alias("index_name"), F.coalesce(F.lit(None).cast("decimal(2,1)"), F.lit("1.0").cast("decimal(2,1)")).alias("score"))
 
 
-# --- ranking ----------------------------------------------------------------------------------------------
+# ranking
 
 _LEV = lambda a, b: f"case when abs(length({a}) - length({b})) > 3 then abs(length({a}) - length({b})) else levenshtein({a}, {b}) end"
 _CLS = f"""(select *, case when n = 'red rings' then 'perfect' when starts_with(n, 'red rings') then 'prefix' when contains(n, 'red rings') then 'substring'
@@ -485,7 +505,7 @@ def q_embedding_stats(spark, d):
     return vector.embedding_stats(_t(spark, d, "embeddings"), "label")
 
 
-# --- fuzzy ------------------------------------------------------------------------------------------------
+# fuzzy
 
 _NAMES = "(select name, count(*) as freq from " + _PARTS + " group by 1)"
 
@@ -522,12 +542,24 @@ def q_levenshtein_terms(spark, d):
     return names(spark, d).select("name", F.levenshtein("name", F.lit("read ring")).cast("long").alias("distance")).where("distance <= 4")
 
 
-@_query()
+@_query(f"select name, freq from {_NAMES} where {_soundex(chr(39) + 'boalt' + chr(39))} = {_soundex("string_split(name, ' ')[2]")}")
 def q_soundex_match(spark, d):
     return names(spark, d).where(F.soundex(F.split_part("name", F.lit(" "), F.lit(2))) == F.soundex(F.lit("boalt"))).select("name", "freq")
 
 
-@_query()
+_SOUNDS = "ph>f f>ph c>k k>c s>z z>s ck>k k>ck qu>kw x>ks y>i i>y ee>ea ea>ee ou>oo tion>shun gh>g kn>n wr>r ae>e oe>e".split()
+
+
+def _phonetic(a: str, b: str) -> str:
+    said = lambda r: f"replace(lower({a}), '{r.partition('>')[0]}', '{r.partition('>')[2]}')"
+    return "(" + " or ".join(f"({said(r)} <> lower({a}) and ({said(r)} = {b} or contains({said(r)}, {b}) or contains({b}, {said(r)})))" for r in _SOUNDS) + ")"
+
+
+_BLUE = "'blue'"
+
+
+@_query(f"""select name, {_phonetic('name', "'kold bolt'")} as similar, case when name = 'blue' then 'exact' when starts_with(name, 'blue') then 'prefix' when {_sim(_BLUE, 'name')} >= 0.3 then 'similarity' when contains(name, 'blue') then 'substring'
+ when {_soundex(_BLUE)} = {_soundex("replace(name, ' ', 'A')")} then 'soundex' when levenshtein(name, 'blue') <= 3 then 'fuzzy' end as match_type from {_NAMES}""")
 def q_phonetic_match(spark, d):
     return names(spark, d).select("name", fuzzy.phonetically_similar(F.col("name"), F.lit("kold bolt")).alias("similar"), fuzzy.match_type(F.lit("blue"), F.col("name")).alias("match_type"))
 
@@ -614,7 +646,7 @@ def q_combined_similarity(spark, d):
     return names(spark, d).select("name", _r(fuzzy.character_similarity(F.col("name"), q)).alias("chars"), _r(fuzzy.combined_score(q, F.col("name"))).alias("combined"))
 
 
-# --- geo --------------------------------------------------------------------------------------------------
+# geo
 
 
 def places(spark, d) -> DataFrame:
@@ -656,7 +688,7 @@ def q_location_parse(spark, d):
     return spark.createDataFrame(rows, "q string, name string, radius double").withColumn("radius", F.col("radius").cast("decimal(6,1)"))
 
 
-# --- query understanding ----------------------------------------------------------------------------------
+# query understanding
 
 
 @_query("""select conv_id, turn, case when regexp_matches(lower(text), 'order|buy|book|reserve|appointment|delivery') then 'transactional' when regexp_matches(lower(text), 'where|location|address|directions|near|close to') then 'navigational' else 'informational' end as intent from conversations""")
@@ -664,12 +696,26 @@ def q_intent(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", nlp.intent(F.col("text")).alias("intent"))
 
 
-_NL = ["best restaurants in lagos with delivery", "cheap hotel near yaba", "24/7 pharmacy", "where is the nearest atm", "book a salon appointment"]
+def _texts(xs) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
 
-@_query()
+def _plurals(words) -> list[str]:
+    return sorted({f for w in words for f in [w, w + "s", w + "es", *([w[:-1]] if w.endswith("s") and len(w) > 3 else [])]})
+
+
+_ASKS = r"(select conv_id, turn, lower(text) as low, string_split_regex(lower(trim(text)), '\s+') as ws, case when regexp_matches(lower(text), 'order|buy|book|reserve|appointment|delivery') then 'transactional' when regexp_matches(lower(text), 'where|location|address|directions|near|close to') then 'navigational' else 'informational' end as intent from conversations)"
+_KINDS = "list_filter([" + ", ".join(f"case when list_has_any(ws, {_texts(_plurals([k, *v]))}) then {_texts([k])[1:-1]} end" for k, v in sorted(K.BUSINESS_TYPES.items())) + "], lambda x: x is not null)"
+_SERVED = f"list_filter({_texts(K.SERVICES)}, lambda x: contains(low, x))"
+_SYN = "map {" + ", ".join(f"{_texts([k])[1:-1]}: {_texts(v)}" for k, v in sorted(K.SYNONYMS.items())) + "}"
+
+
+@_query(f"""with e as (select conv_id, turn, intent, ws, low, {_KINDS} as business_types, list_filter({_texts(sorted(K.GAZETTEER))}, lambda x: contains(low, x)) as locations, {_SERVED} as services, list_filter({_texts(K.MODIFIERS)}, lambda m: list_contains(ws, m)) as modifiers from {_ASKS}),
+x as (select *, ws || coalesce(({_SYN}[business_types[1]])[1:2], []) || coalesce(({_SYN}[services[1]])[1:1], []) as more from e)
+select conv_id, turn, intent, business_types, locations, services, modifiers, list_filter(more, lambda w, i: list_position(more, w) = i) as expansion from x""")
 def q_entities(spark, d):
-    return spark.createDataFrame([(q,) for q in _NL], "q string").select("q", nlp.understand(F.col("q")).alias("u")).select("q", "u.*")
+    c = _t(spark, d, "conversations")
+    return c.select("conv_id", "turn", nlp.understand(F.col("text")).alias("u")).select("conv_id", "turn", "u.*")
 
 
 @_query("select conv_id, turn, list_filter(['affordable', 'best', 'budget', 'busy', 'cheap', 'crowded', 'expensive', 'famous', 'fast', 'luxury', 'new', 'old', 'popular', 'quick', 'quiet', 'rated', 'recommended', 'slow', 'top'], lambda m: list_contains(string_split_regex(lower(trim(text)), '\\s+'), m)) as modifiers from conversations")
@@ -677,10 +723,14 @@ def q_modifiers(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", nlp.modifiers(F.col("text")).alias("modifiers"))
 
 
-# --- schema -----------------------------------------------------------------------------------------------
+# schema
+
 
+_JSON_KIND = """case when regexp_full_match(v, '-?[0-9]+') then 'integer' when regexp_full_match(v, '-?[0-9]*\\.[0-9]+([eE][-+]?[0-9]+)?') then 'float' when v in ('true', 'false') then 'boolean' when starts_with(v, '{') then 'object' when starts_with(v, '[') then 'array'
+ when regexp_matches(k, '(?i)e?mail') and regexp_matches(v, '^[^ @]+@[^ @]+\\.[^ @]+$') then 'keyword' when regexp_matches(v, '^https?://') then 'keyword' when regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}|^[0-9]{13}$') then 'date' when length(v) <= 50 and not contains(v, ' ') then 'keyword' else 'text' end"""
 
-@_query("select 'k' as path, 'integer' as kind")
+
+@_query("select k as path, arg_max(kind, event_id) as kind from (select event_id, k, " + _JSON_KIND + " as kind from (select event_id, k, json_extract_string(props, '$.' || k) as v from (select event_id, props, unnest(json_keys(props)) as k from events)) where v is not null) group by 1")
 def q_mapping_inference(spark, d):
     return schema.infer_mapping(_t(spark, d, "events"), "props", "event_id")
 
@@ -697,7 +747,7 @@ def q_schema_latest(spark, d):
     return schema.latest(v)
 
 
-# --- aggregates, windows, store ---------------------------------------------------------------------------
+# aggregates, windows, store
 
 
 @_query(f"select round(100.0 * count(is_verified) / count(*), 6) as is_verified_percent, round(100.0 * count(is_blocked) / count(*), 6) as is_blocked_percent from {_FLAGGED}")
@@ -791,22 +841,19 @@ def q_bulk_store_errors(spark, d):
     return good.select("c_custkey", F.lit(False).alias("rejected")).unionByName(bad.select("c_custkey", F.lit(True).alias("rejected")))
 
 
-@_query()
+@_query("select document_id, name, ts from (select user_id as document_id, event_type as name, ts, row_number() over (partition by user_id order by ts desc, event_type desc) as n from events) where n = 1")
 def q_stream_index_batches(spark, d):
     """Events as a stream of files, indexed by micro-batch into the shared folder; the last write of each user."""
-    import tempfile
-    import uuid
-
     from querna.streaming import ingest
 
-    at = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="querna-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    at = shared_folder(spark, "stream")
     e = _t(spark, d, "events").select(F.col("user_id").alias("document_id"), "ts", F.col("event_type").alias("name"))
     e.repartition(4).write.parquet(f"{at}/in")
     ingest.index_batches(ingest.read(spark, f"{at}/in", e.schema, 2), f"{at}/out", f"{at}/checkpoint", ["name"]).awaitTermination()
     return ingest.current(spark, f"{at}/out").select("document_id", "name", "ts")
 
 
-# --- more full-text forms ---------------------------------------------------------------------------------
+# more full-text forms
 
 
 _BOTH = f"list_concat({_std('name')}, {_std('category_name')})"
@@ -832,12 +879,26 @@ def q_prefix_or_fulltext(spark, d):
     return textsearch.prefix_or_text(parts(spark, d), "red ring", F.col("name"), ["name", "category_name"]).select("document_id", "score")
 
 
-@_query(f"select document_id, round(case when lower(name) = 'small ring' then 1000 when starts_with(lower(name), 'small ring') then 500 else len(list_filter({_BOTH}, lambda x: x in ('small', 'ring'))) / len({_BOTH}) end, 6)::double as score from {_PARTS} where starts_with(lower(name), 'small ring') or list_has_all({_BOTH}, ['small', 'ring'])")
+_SPOTS = f"""(select document_id, x as t, pos, case when pos < n then 1.0::double else 0.4::double end as w, row_number() over (partition by document_id order by pos) as k from
+ (select document_id, unnest(ts) as x, generate_subscripts(ts, 1) - 1 as pos, n from (select document_id, {_BOTH} as ts, len({_std('name')}) as n from {_PARTS})) where x in ('small', 'plated'))"""
+
+
+@_query(f"""with e as (select *, sum(1 / w) over (partition by document_id order by k) as cum from {_SPOTS}),
+l as (select *, max(case when t = 'small' then k end) over s as a, max(case when t = 'plated' then k end) over s as b from e window s as (partition by document_id order by k rows unbounded preceding)),
+c as (select document_id, least(a, b) as low, min(k) as high from l where a is not null and b is not null group by 1, 2),
+r as (select document_id, sum((high - low + 1) / (y.cum - x.cum + 1 / x.w) / (1 + (y.pos - x.pos) - (high - low))) as score from c join e x using (document_id) join e y using (document_id) where x.k = low and y.k = high group by 1)
+select document_id, round(case when lower(name) = 'small plated' then 1000 when starts_with(lower(name), 'small plated') then 500 else score end, 6)::double as score from {_PARTS} left join r using (document_id) where score is not null or starts_with(lower(name), 'small plated')""")
 def q_search_boosted(spark, d):
-    return textsearch.boosted(parts(spark, d), "small ring", F.col("name"), ["name", "category_name"]).select("document_id", _r(F.col("score")).alias("score"))
+    return textsearch.boosted(parts(spark, d), "small plated", F.col("name"), ["name", "category_name"]).select("document_id", _r(F.col("score")).alias("score"))
+
+
+@_query(f"select document_id, round(sum(w), 6)::double as score from (select document_id, case when i <= n then 1.0::double else 0.4::double end as w from (select document_id, unnest(ts) as x, generate_subscripts(ts, 1) as i, n from (select document_id, {_BOTH} as ts, len({_std('name')}) as n from {_PARTS})) where starts_with(x, 'pl')) group by 1")
+def q_prefix_ranked(spark, d):
+    hit = parts(spark, d).where(textsearch.prefix_term(["name", "category_name"], "pl"))
+    return hit.select("document_id", _r(textsearch.prefix_rank(["name", "category_name"], "pl")).alias("score"))
 
 
-@_query(f"select document_id, round(len(list_filter({_std('text')}, lambda x: x in ('thea', 'oner'))) / len({_std('text')}), 6) as score from (select doc_id as document_id, text from documents) where list_has_any({_std('text')}, ['thea', 'oner'])")
+@_query(f"select document_id, round(0.1::double * count(*), 6) as score from (select doc_id as document_id, unnest({_std('text')}) as x from documents) where x in ('thea', 'oner') group by 1")
 def q_search_any_ranked(spark, d):
     hit, _ = textsearch.ranked_any(_t(spark, d, "documents").withColumnRenamed("doc_id", "document_id"), "thea oner", ["text"])
     return hit.select("document_id", _r(F.col("score")).alias("score"))
@@ -865,16 +926,10 @@ def q_admin_case(spark, d):
     return _t(spark, d, "events").select("event_id", F.when(new, F.when(F.col("value") > 30, "slow today").otherwise("today")).when(F.col("value") > 30, "slow").otherwise("old").alias("state"))
 
 
-@_query("select conv_id, turn, w as word from (select conv_id, turn, unnest(case when role = 'user' then string_split(text, ' ')[1:3] else [null] end) as w from conversations)")
+@_query("select conv_id, turn, w as word from (select conv_id, turn, unnest(case when role = 'user' then string_split(text, ' ') else [null] end) as w from conversations)")
 def q_lateral_outer(spark, d):
     c = _t(spark, d, "conversations")
-    return c.select("conv_id", "turn", F.explode_outer(F.when(F.col("role") == "user", F.slice(F.split("text", " "), 1, 3))).alias("word"))
-
-
-@_query("select conv_id, turn, unnest(case when role = 'user' then coalesce(string_split(text, ' '), [null]) else [null] end) as word from conversations")
-def q_lateral_outer_words(spark, d):
-    """All words of a user's turn; lateral_outer keeps the first three."""
-    return _t(spark, d, "conversations").select("conv_id", "turn", F.explode_outer(F.when(F.col("role") == "user", F.split("text", " "))).alias("word"))
+    return c.select("conv_id", "turn", F.explode_outer(F.when(F.col("role") == "user", F.split("text", " "))).alias("word"))
 
 
 @_query(f"select document_id, field, term, cast(2 * tf as bigint) as tf from {_POST}")
@@ -917,7 +972,16 @@ def q_match_type(spark, d):
     return t.select("term", fuzzy.match_type(F.lit("bolt"), F.col("term")).alias("kind"))
 
 
-@_query()
+def _like_word(q: str, w: str) -> str:
+    sim = f"(1 - levenshtein({q}, {w}) / greatest(length({q}), length({w})) + case when length({q}) = length({w}) and levenshtein({q}, {w}) = 1 then 0.2 else 0 end)"
+    return f"case when {sim} >= 0.7 then 1000 when {sim} >= 0.5 then 800 when {sim} >= 0.3 then 600 when {sim} >= 0.1 then 400 else 0 end + case when {_soundex(q)} = {_soundex(w)} then 500 else 0 end"
+
+
+_BOLD = "'bold'"
+
+
+@_query(f"""select term, case when term = 'bold' then 500 when starts_with(term, 'bold') then 400 when contains(term, 'bold') then 350 when levenshtein(term, 'bold') <= 1 then 300 when levenshtein(term, 'bold') <= 2 then 250 else 150 end
+ + case when {_phonetic(_BOLD, 'term')} then 200 else 0 end - 25 * levenshtein(term, 'bold') - 5 * abs(length(term) - 4) as score, list_max(list_transform(string_split_regex(term, '\\s+'), lambda w: {_like_word(_BOLD, 'w')})) as best_word from {_TERMS}""")
 def q_relevance_first(spark, d):
     t = F.col("term")
     return terms(spark, d).select("term", fuzzy.relevance_first_score(F.lit("bold"), t).alias("score"), fuzzy.best_word_score(F.lit("bold"), t).alias("best_word"))
@@ -1024,3 +1088,6 @@ def q_processed_documents(spark, d):
 def q_two_phase_topk(spark, d):
     hit = parts(spark, d).where(textsearch.any_terms(["name"], "hot gear")).withColumn("score", F.when(F.col("name").contains("gear"), 2.0).otherwise(1.0))
     return hit.orderBy(F.desc("score"), "document_id").limit(15).select("document_id", "score", "name")
+
+
+from querna import catalogue_stored  # noqa: E402, F401  (its queries register themselves)

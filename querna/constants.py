@@ -13,6 +13,9 @@ BM25_K1, BM25_B = 1.2, 0.75
 BLEND_DB, BLEND_BM25 = 0.3, 0.7
 FIELD_WEIGHTS = {"name": 3.0, "title": 3.0, "description": 1.5, "tags": 1.0, "content": 1.0}
 PATTERN_WEIGHTS = [(10.0, "name title"), (2.0, "category category_name subcategory sub_category_name"), (1.5, "overview summary description"), (1.0, "text content tags")]
+#: Labels of the fields of a weighted vector, and what an occurrence under a label weighs.
+VECTOR_LABELS = {"name": "A", "title": "A", "category_name": "B", "sub_category_name": "B", "description": "C", "profile": "C"}
+LABEL_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 LABELS = [(10.0, "A"), (5.0, "B"), (2.0, "C")]
 LIKE_FIELDS = frozenset("category_name description location_text name profile sub_category_name tags title".split())
 FLAGS = ("is_active", "is_blocked", "is_verified")
@@ -83,3 +86,8 @@ SYNONYMS = {k: BUSINESS_TYPES[k] for k in ("bank", "clinic", "gym", "hotel", "re
     "delivery": ["deliver", "delivery", "door delivery", "home delivery"], "emergency": ["asap", "emergency", "immediate", "urgent"], "takeout": ["pickup", "take away", "take-away", "takeout", "to go"],
 }
 COMMON_TYPOS = {"resturant": "restaurant", "restarant": "restaurant", "hotl": "hotel", "pharmcy": "pharmacy", "hospitel": "hospital", "bannk": "bank", "univeristy": "university", "colege": "college"}
+#: Words of names so common that they count as frequent without being counted.
+BUSINESS_WORDS = frozenset(
+    """bank beauty business center clinic company complex consulting drink education finance food health hospital hotel mall manufacturing
+    market office plaza restaurant retail salon school service shop store technology university wholesale""".split()
+)

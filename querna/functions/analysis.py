@@ -135,6 +135,16 @@ def term_count(c: Column, term: str) -> Column:
     return F.regexp_count(c, F.lit(rf"(?i)\b{re.escape(bare)}\b"))
 
 
+def term_count_split(c: Column, term: str) -> Column:
+    """Words between runs of other characters than [A-Za-z0-9_] that equal the term, case aside (TXT-32)."""
+    return F.size(F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda x: x == term.lower()))
+
+
+def dotted(content: Column, path: str) -> Column:
+    """A value of JSON text by its dotted path, as text; null where the path leads nowhere (TXT-18)."""
+    return F.get_json_object(content, "$." + path)
+
+
 def clean_token(t: Column) -> Column:
     """Lower case, [a-z0-9_-] alone, no edge hyphens; null where shorter than 2 or digits alone."""
     x = F.regexp_replace(F.regexp_replace(F.lower(t), r"[^a-z0-9_-]", ""), r"^-+|-+$", "")

@@ -62,13 +62,13 @@ def radius_of(query: str) -> float | None:
 def parse_location(query: str, user: tuple[float, float] | None = None) -> dict | None:
     """Where a query asks for: near the user, or in the longest place it names, or at coordinates."""
     q = query.lower()
-    if user and re.search(r"\b(near|close to|around)\s+me\b", q):
+    if user and re.search(r"\b(?:around|close\s+to|near)\s+me\b", q):
         return {"lat": user[0], "lng": user[1], "radius": radius_of(q) or K.DEFAULT_RADIUS_M, "kind": "user"}
     for name in sorted(K.GAZETTEER, key=len, reverse=True):
         if re.search(rf"\b(?:in|at|within|near)\s+{re.escape(name)}\b", q):
             lat, lng, kind = K.GAZETTEER[name]
             return {"lat": lat, "lng": lng, "radius": radius_of(q) or (K.CITY_RADIUS_M if kind == "city" else K.AREA_RADIUS_M), "kind": kind, "name": name}
-    m = re.search(r"(-?\d+\.\d+)\s*,\s*(-?\d+\.\d+)", q)
+    m = re.search(r"([+-]?\d{1,3}\.\d+)[,;\s]+([+-]?\d{1,3}\.\d+)", q)
     if m:
         return {"lat": float(m[1]), "lng": float(m[2]), "radius": radius_of(q[m.end() :]) or K.DEFAULT_RADIUS_M, "kind": "coordinates"}
     return None

@@ -88,9 +88,18 @@ def ranking_breakdown(hits: DataFrame, confirmed: str = "is_verified") -> DataFr
     return hits.groupBy("tier").agg(F.count_if(c).alias("confirmed"), F.count_if(~c).alias("unconfirmed"))
 
 
+def breakdown_top(hits: DataFrame, n: int = 10) -> DataFrame:
+    """(name, tier, confirmed, health, score) of the n best ranked hits (RNK-08)."""
+    confirmed = F.coalesce(F.col("is_verified"), F.lit(False)).alias("confirmed")
+    top = hits.orderBy(*tier_order()).limit(n)
+    tier = F.when(F.col("tier") == 3, "EXACT_MATCH").when(F.col("tier") == 2, "CLOSE_MATCH").otherwise("OTHER_MATCH")
+    return top.select(F.coalesce("name", F.lit("Unknown")).alias("name"), tier.alias("tier"), confirmed, "health", F.col("final_score").alias("score"))
+
+
 def text_score(name: Column, query: str, base: Column) -> Column:
     """The base score, boosted by how the name matches."""
     q = query.lower().strip()
+    name = F.lower(name)
     ws, parts = q.split(), F.split(name, r"\s+")
     found = [_some(parts, lambda n, w: n.contains(w) | F.lit(w).contains(n), w).cast("int") for w in ws]
     share = reduce(lambda a, b: a + b, found, F.lit(0)) / max(1, len(ws))

@@ -2,21 +2,75 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querna import constants as K
 from querna.functions.analysis import FILTERS, clean_token, standard_tokens
+from querna.session import reach_workers
 
 
 def analyzed(c: Column) -> Column:
     return FILTERS["stopword"](standard_tokens(c))
 
 
+_WORD = re.compile(r"[a-z0-9_]+")
+#: Characters of text that one block of postings is made from.
+BLOCK_CHARS = 1 << 20
+
+
+def _block(fields: list[str], keyword: tuple[str, ...], ignore_above: int, positions: bool):
+    """Postings of Arrow batches, each document's from its own text: nothing is shuffled."""
+
+    def tokens(f: str, text: str | None) -> list[str]:
+        if f not in keyword:
+            return [w for w in _WORD.findall((text or "").lower()) if w not in K.STOP_WORDS]
+        return [text.strip(" ").lower()] if text is not None and len(text) <= ignore_above else []
+
+    def run(batches):
+        for b in batches:
+            rows, field, term, tf, size, at, chars = [], [], [], [], [], [], 0
+            for i, texts in enumerate(zip(*(b.column(c + 1).to_pylist() for c in range(len(fields))))):
+                for f, text in zip(fields, texts):
+                    ts = tokens(f, text)
+                    held: dict[str, list[int]] = {}
+                    for k, t in enumerate(ts):
+                        held.setdefault(t, []).append(k)
+                    rows += [i] * len(held)
+                    field += [f] * len(held)
+                    term += held
+                    tf += map(len, held.values())
+                    size += [len(ts)] * len(held)
+                    at += held.values()
+                    chars += len(text or "")
+                if chars > BLOCK_CHARS:
+                    yield one(b, rows, field, term, tf, size, at)
+                    rows, field, term, tf, size, at, chars = [], [], [], [], [], [], 0
+            if rows:
+                yield one(b, rows, field, term, tf, size, at)
+
+    def one(b, rows, field, term, tf, size, at) -> pa.RecordBatch:
+        cols = [b.column(0).take(pa.array(rows)), pa.array(field, pa.string()), pa.array(term, pa.string()), pa.array(tf, pa.int64()), pa.array(size, pa.int32())]
+        return pa.RecordBatch.from_arrays([*cols, *([pa.array(at, pa.list_(pa.int32()))] if positions else [])], ["key", "field", "term", "tf", "field_length", *(["positions"] if positions else [])])
+
+    return run
+
+
 def postings(docs: DataFrame, fields: list[str], key: str = "document_id", analyzer=analyzed, positions: bool = False, keyword: tuple[str, ...] = (), ignore_above: int = 256) -> DataFrame:
-    """(key, field, term, tf, field_length[, positions]): one shuffle, by document, and none of the texts."""
+    """(key, field, term, tf, field_length[, positions]), one row a document, field and term.
+
+    A document is one row of ``docs``.  With the standard analyzer each row's postings come out of the row
+    itself and nothing is shuffled; other analyzers are Columns, whose tokens meet again by document."""
+    if analyzer is analyzed:
+        reach_workers(docs.sparkSession)
+        kind = docs.schema[key].dataType.simpleString()
+        rows = docs.select(F.col(key), *[F.col(f).cast("string").alias(f"field{i}") for i, f in enumerate(fields)])
+        out = rows.mapInArrow(_block(fields, keyword, ignore_above, positions), f"key {kind}, field string, term string, tf long, field_length int" + (", positions array<int>" if positions else ""))
+        return out.withColumnRenamed("key", key)
     each = F.array(
         *[F.struct(F.lit(f).alias("field"), (F.when(F.length(F.col(f)) <= ignore_above, F.array(F.lower(F.trim(F.col(f))))).otherwise(F.array().cast("array<string>")) if f in keyword else analyzer(F.coalesce(F.col(f).cast("string"), F.lit("")))).alias("terms")) for f in fields]
     )

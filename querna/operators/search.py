@@ -34,12 +34,15 @@ class Response:
     hits: DataFrame
     total: DataFrame
     facets: DataFrame | None = None
+    summary: DataFrame | None = None  # total and greatest score in one row
 
     def envelope(self, size: int | None = None, start: int | None = None) -> dict:
         """The driver-side answer: total, pages and hits of one page."""
         size, start = Q.page(size, start)
         total = self.total.first()["total"]
-        return {"total": total, "pagination": page_meta(total, size, start), "hits": [r.asDict(recursive=True) for r in self.hits.collect()]}  # at most MOST_PAGE_SIZE rows
+        hits = [r.asDict(recursive=True) for r in self.hits.collect()]  # at most MOST_PAGE_SIZE rows
+        best = self.summary.first()["max_score"] if self.summary is not None else None
+        return {"total": total, "max_score": best, "pagination": page_meta(total, size, start), "hits": hits}
 
 
 def page_meta(total: int, size: int, start: int) -> dict:
@@ -64,7 +67,7 @@ def score_column(r: Request) -> Column:
     f = Q.strip_boost(r.fields[0])[0]
     if r.rank == "wildcard" or "*" in text or "?" in text:
         bare = text.replace("*", "").replace("?", "")
-        best = [fuzzy.similarity(F.lit(bare), F.col(Q.strip_boost(x)[0])) * (1000 if i == 0 else 500) for i, x in enumerate(r.fields[:2])]
+        best = [fuzzy.word_similarity(F.lit(bare), F.col(Q.strip_boost(x)[0])) * (1000 if i == 0 else 500) for i, x in enumerate(r.fields[:2])]
         return F.greatest(*best) if len(best) > 1 else best[0]
     if r.rank == "boost":
         return P.boost_score(q)
@@ -86,7 +89,8 @@ def search(docs: DataFrame, r: Request, arrays: frozenset[str] = frozenset()) ->
     if r.highlight:
         terms = Q.analyze(Q.text_of(r.query)) or ["\x00"]
         page = page.withColumns({f"highlight_{f}": P.highlight(F.col(f), terms) for f in r.highlight})
-    return Response(page, hit.agg(F.count("*").alias("total")), facets(hit, r.facets) if r.facets else None)
+    summary = scored.agg(F.count("*").alias("total"), F.max("score").alias("max_score"))
+    return Response(page, hit.agg(F.count("*").alias("total")), facets(hit, r.facets) if r.facets else None, summary)
 
 
 def facets(hits: DataFrame, fields: list[str]) -> DataFrame:
@@ -122,3 +126,33 @@ def ranked(docs: DataFrame, query: str, as_of: Column, candidate_limit: int | No
 def merge_suggestions(found: list[DataFrame], size: int) -> DataFrame:
     """Hits of several corrected queries: one an id, the best first."""
     return ranking.deduplicate(reduce(DataFrame.unionByName, found)).orderBy(F.desc("score"), F.asc("document_id")).limit(min(size, K.MOST_PAGE_SIZE))
+
+
+def search_near(docs: DataFrame, query: str, as_of: Column, user: tuple[float, float] | None = None, known: set[str] | None = None, corrected: str | None = None, size: int | None = None, start: int | None = None) -> Response:
+    """The whole search of one text: correction where the text looks wrong, matching by any word, the place that the
+    text names or the user's own, tiered ranking, one page.
+
+    ``docs`` has name, health, rating, is_verified, is_featured, updated_at, lat and lng.  ``corrected`` is what
+    ``dictionary.correct_queries`` gives for the text; it is taken where ``known`` words say that the text is wrong.
+    """
+    from querna.functions import geo
+    from querna.operators.suggest import looks_correct
+
+    text = corrected if corrected and known is not None and not looks_correct(query, known) else query
+    place = geo.parse_location(text, user)
+    words = [w for w in Q.analyze(text) if not place or w not in Q.analyze(str(place.get("name", "")))]
+    hit = docs.where(P.predicate(Q.parse({"match": {"field": "name", "value": " ".join(words) or "*", "operator": "or"}})))
+    if place or user:
+        hit = geo.filter_by_location(hit, place, user=user)
+    else:
+        hit = hit.withColumn("location_score", F.lit(0.5))
+    bare = " ".join(words)
+    hit = hit.withColumn("score", P.base_rank(F.col("name"), bare))
+    hit = ranking.classify(hit, bare, text_score=F.col("score"))
+    final = ranking.tiered_score(F.col("tier"), F.col("is_verified"), F.col("health"), F.col("rating"), ranking.freshness(F.col("updated_at"), as_of), F.col("is_featured"), F.col("score"))
+    hit = hit.withColumn("final_score", final)
+    size, start = Q.page(size, start)
+    order = [F.desc("location_score"), *ranking.tier_order()] if place or user else ranking.tier_order()
+    page = hit.orderBy(*order).offset(start).limit(size) if start else hit.orderBy(*order).limit(size)
+    total = hit.agg(F.count("*").alias("total"), F.max("final_score").alias("max_score"))
+    return Response(page, total, None, total)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querna.operators import stored
 from querna.plans import predicates as P
 from querna.plans.query import analyze
 
@@ -36,10 +37,19 @@ def prefix_term(fields: list[str], prefix: str) -> Column:
     return F.exists(tokens(fields), lambda x: x.startswith(p))
 
 
-def hits_share(fields: list[str], text: str) -> Column:
-    """Occurrences of the text's words by the words of the fields."""
-    ws, t = analyze(text), tokens(fields)
-    return F.coalesce(F.try_divide(F.size(F.filter(t, lambda x: x.isin(ws))).cast("double"), F.size(t).cast("double")), F.lit(0.0))
+def density(fields: list[str], text: str, every: bool) -> Column:
+    """Cover density of the text's words over the labelled fields: of all of them, or of any."""
+    ws = list(dict.fromkeys(analyze(text)))
+    if not ws:
+        return F.lit(0.0)
+    e = stored.entries([(f, P.tokens_of(f)) for f in fields], ws)
+    return stored.cover_rank(e, len(ws)) if every else stored.any_rank(e)
+
+
+def prefix_rank(fields: list[str], prefix: str) -> Column:
+    """The label weights of all words that begin with the prefix."""
+    p = prefix.lower().strip()
+    return reduce(lambda a, b: a + b, [F.size(F.filter(P.tokens_of(f), lambda x: x.startswith(p))) * stored.label_weight(f) for f in fields])
 
 
 def prefix_or_text(docs: DataFrame, q: str, name: Column, fields: list[str]) -> DataFrame:
@@ -48,15 +58,15 @@ def prefix_or_text(docs: DataFrame, q: str, name: Column, fields: list[str]) ->
 
 
 def boosted(docs: DataFrame, q: str, name: Column, fields: list[str]) -> DataFrame:
-    """Exact 1000, prefix 500, else the share of matching words."""
+    """Exact 1000, prefix 500, else the cover density of all words."""
     low = q.lower().strip()
-    s = F.when(F.lower(name) == low, 1000.0).when(F.lower(name).startswith(low), 500.0).otherwise(hits_share(fields, q))
+    s = F.when(F.lower(name) == low, 1000.0).when(F.lower(name).startswith(low), 500.0).otherwise(density(fields, q, True))
     return docs.where(all_terms(fields, q) | F.lower(name).startswith(low)).withColumn("score", s)
 
 
 def ranked_any(docs: DataFrame, q: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Documents with any word, by share; the total apart, so that hits needn't meet in one partition."""
-    hit = docs.where(any_terms(fields, q)).withColumn("score", hits_share(fields, q))
+    """Documents with any word, by cover density; the total apart, so that hits needn't meet in one partition."""
+    hit = docs.where(any_terms(fields, q)).withColumn("score", density(fields, q, False))
     return hit, hit.agg(F.count("*").alias("total"))
 
 

@@ -89,6 +89,8 @@ def predicate(q: Q.Query) -> Column:
     if isinstance(q, Q.MatchAll):
         return F.lit(True)
     if isinstance(q, Q.Term):
+        if q.fuzziness:  # a bound lets the distance stop early
+            return F.exists(tokens_of(q.field), lambda x: F.levenshtein(x, F.lit(q.value), q.fuzziness) >= 0)
         return F.array_contains(tokens_of(q.field), q.value)
     if isinstance(q, Q.Phrase):
         if not q.terms:
@@ -141,3 +143,20 @@ def highlight(c: Column, terms: list[str]) -> Column:
     import re
 
     return F.regexp_replace(c, rf"(?i)\b({'|'.join(re.escape(t) for t in terms)})\b", "<em>$1</em>")
+
+
+def highlight_fragments(c: Column, terms: list[str], around: int = 40) -> Column:
+    """The matches with ``around`` characters of their line on either side, words of the query marked: one string a fragment."""
+    import re
+
+    words = "|".join(re.escape(t) for t in terms)
+    found = F.regexp_extract_all(c, F.lit(rf"(?i)[^\n]{{0,{around}}}\b(?:{words})\b[^\n]{{0,{around}}}"), F.lit(0))
+    return F.transform(found, lambda x: highlight(x, terms))
+
+
+def trigram_matches(query: str, fields: list[str]) -> Column:
+    """Some field is like the query by trigrams, wildcards aside (FLT-14)."""
+    from querna.functions import fuzzy
+
+    bare = query.replace("*", "").replace("?", "")
+    return reduce(lambda a, b: a | b, [fuzzy.similarity(F.lit(bare), F.coalesce(F.col(f), F.lit(""))) >= K.TRIGRAM_THRESHOLD for f in fields])

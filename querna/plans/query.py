@@ -13,6 +13,7 @@ class Term:
     field: str
     value: str
     boost: float = 1.0
+    fuzziness: int = 0  # edits that a word may be away
 
 
 @dataclass(frozen=True)
@@ -122,11 +123,12 @@ def parse(raw: str | dict | None, fields: list[str] | None = None) -> Query:
             return parse_string(text, names)
         if '"' in text:
             return parse_string(text, names[:1], "and")
-        words = analyze(text)
+        words, fuzz = analyze(text), m.get("fuzziness", 0)
+        edits = lambda w: (0 if len(w) < 3 else 1 if len(w) < 6 else 2) if str(fuzz).lower() == "auto" else int(fuzz)
         if m.get("operator", "and") == "or":
-            return _one([Term(f, w, b) for w in words for f, b in map(strip_boost, names)])
+            return _one([Term(f, w, b, edits(w)) for w in words for f, b in map(strip_boost, names)])
         f, b = strip_boost(names[0])
-        return Term(f, words[0], b) if len(words) == 1 else Bool(must=tuple(Term(f, w, b) for w in words))
+        return Term(f, words[0], b, edits(words[0])) if len(words) == 1 else Bool(must=tuple(Term(f, w, b, edits(w)) for w in words))
     if "term" in raw:
         (f, v), *_ = raw["term"].items()
         if "field" in raw["term"]:

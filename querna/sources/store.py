@@ -28,15 +28,21 @@ def lookup(docs: DataFrame, ids: Iterable, key: str = "document_id") -> DataFram
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str], skip_duplicates: bool = False) -> DataFrame:
-    """The last write of each key; with skip_duplicates the old one stays."""
+    """The last write of each key; with skip_duplicates the old one stays.  Writes of one
+    order are resolved by their other columns, the greatest first, so by no chance."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
     side = F.asc("__new") if skip_duplicates else F.desc("__new")
-    w = Window.partitionBy(*keys).orderBy(side, *[F.desc(c) for c in order])
+    w = Window.partitionBy(*keys).orderBy(side, *[F.desc(c) for c in order], *_ties(both, keys, order))
     return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__new")
 
 
+def _ties(df: DataFrame, keys: list[str], order: list[str]) -> list:
+    return [F.desc(F.col(f"`{f.name}`")) for f in df.schema if f.name not in (*keys, *order, "__new") and f.dataType.typeName() not in ("map", "variant")]
+
+
 def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    """The last row of each key; of rows of one order the one with the greatest other columns."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order], *_ties(log, keys, order))
     return log.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 

@@ -9,7 +9,7 @@ from .test_queries import SF
 def test_lateral_outer_words_keeps_whole_turns(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").collect()
     got = {}
-    for r in catalogue.queries()["lateral_outer_words"](spark, SF).collect():
+    for r in catalogue.queries()["lateral_outer"](spark, SF).collect():
         got.setdefault((r.conv_id, r.turn), []).append(r.word)
     assert any(len(t.text.split(" ")) > 3 for t in turns)
     assert all(got[t.conv_id, t.turn] == t.text.split(" ") for t in turns)
