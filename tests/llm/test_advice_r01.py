@@ -54,7 +54,6 @@ def test_lm_beyond_the_limit_reads_the_same_filter(spark):
 def test_pairs_at_the_threshold_share_a_piece(held, trials, n, how):
     """Sets exactly at or just above the threshold, of equal sizes or one holding the other: none is missed."""
     r, t = random.Random(held), jaccard_join.THRESHOLD
-    bands = jaccard_join.size_bands(t)
     for i in range(trials):
         if how == "contained":
             w = [f"{i}.{r.getrandbits(40)}" for _ in range(int(held / t))]
@@ -68,9 +67,12 @@ def test_pairs_at_the_threshold_share_a_piece(held, trials, n, how):
         sets = [set((key[key >> np.uint64(48) == d] & jaccard_join.TOKEN).tolist()) for d in (0, 1)]
         if len(sets[0] & sets[1]) < t * len(sets[0] | sets[1]) - 1e-9:
             continue
-        frequent = np.sort(np.array(r.sample(sorted(sets[0] | sets[1]), len(sets[0]) // 2), np.uint64))
-        k, o = jaccard_join._pieces(key, 2, t, bands, frequent)
-        assert set(k[o == 0].tolist()) & set(k[o == 1].tolist())
+        a, b = (np.array(sorted(x), np.uint64) for x in sets)
+        assert len(sets[0] & sets[1]) >= max(jaccard_join.least_shared(np.array([len(a), len(b)]), t))
+        assert set(jaccard_join.first_cells(a, t).tolist()) & set(jaccard_join.first_cells(b, t).tolist())
+        bands = jaccard_join.size_bands(t)
+        low, high = sorted(np.searchsorted(bands, [len(a), len(b)]))
+        assert high - low <= 1
 
 
 def test_op6_decodes_all_documents(spark):

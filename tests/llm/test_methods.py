@@ -116,6 +116,17 @@ def test_buckets_of_many_blocks(spark, monkeypatch):
     assert got == jaccard_groups(texts, jaccard_join.N, jaccard_join.THRESHOLD)
 
 
+def test_cells_are_counted_by_neighbouring_bands():
+    """A cell counts once for each class that shares it with another of its band or the next one."""
+    owners = [(5 << 6) | 1, (6 << 6) | 2, (7 << 6) | 9, (8 << 6) | 4, (8 << 6) | 4]
+    keys = {0: [0, 1], 1: [0, 2], 2: [3, 4], 3: [0, 0], 4: [1, 2, 3]}
+    k = np.array([c for c, x in keys.items() for _ in x], np.uint32)
+    o = np.array([owners[i] for x in keys.values() for i in x], np.int64)
+    t = pa.table({"keys": pa.array([k.tobytes()], pa.binary()), "owners": pa.array([o.tobytes()], pa.binary())})
+    got = dict(zip(*(c.to_pylist() for c in jaccard_join._agreed(t).columns)))
+    assert got == {owners[0]: 1, owners[1]: 1}
+
+
 def test_repeated_ids_of_other_texts_are_not_lost(spark):
     a, b = prose(random.Random(1), 60, 10**6), prose(random.Random(2), 60, 10**6)
     docs = make(spark, [(1, a), (2, b), (2, a), (2, "other words here"), (3, b), (3, b)])
