@@ -441,6 +441,35 @@ def test_placement_is_the_heuristic():
     assert got.tolist() == [want[g] for g in range(120)]
 
 
+def test_unequal_bins_are_filled_by_their_capacity():
+    r = np.random.default_rng(2)
+    d = r.integers(1, 20, (600, 3)).astype(float)
+    got = sharding.place(d, 3, capacity=np.array([3.0, 3.0, 2.0]))
+    share = np.array([d[got == b].sum(0) for b in range(3)]) / d.sum(0)
+    assert np.abs(share - np.array([[3], [3], [2]]) / 8).max() < 0.02
+
+
+def test_two_levels_balance_all_shards(spark, monkeypatch):
+    """Seven super-shards of up to four shards: by brute force over the rows, every shard gets its share."""
+    monkeypatch.setattr(sharding, "PER_SUPER", 4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.assign(docs, shards=25).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(d.doc_id for d in docs.collect())
+    sums = collections.defaultdict(lambda: np.zeros(3))
+    for r in rows:
+        sums[r.shard] += (r.bytes, r.tokens, 1)
+    assert set(sums) == set(range(25))
+    totals = np.array([sums[s] for s in range(25)])
+    largest = max(r.bytes for r in rows) / totals[:, 0].mean()
+    assert (totals.max(0) <= totals.mean(0) * (1.1 + largest)).all()
+
+
+def test_null_ids_are_spread_by_text(spark):
+    docs = make(spark, [(None, f"text {i} " * 5) for i in range(400)])
+    got = collections.Counter(r.shard for r in sharding.assign(docs).collect())
+    assert len(got) == 8 and max(got.values()) <= 1.3 * 50
+
+
 def test_shards_are_balanced(spark):
     rows = sharding.op7_sharding(spark, "/root/testdata/sf0.01").groupBy("shard").agg({"bytes": "sum", "tokens": "sum", "shard": "count"}).toPandas()
     assert len(rows) == 8
