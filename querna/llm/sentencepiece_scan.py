@@ -8,8 +8,9 @@ pieces alone, too).  So encoding is the best path of a lattice whose steps weigh
 the last piece.  A giant document is cut into chunks of characters.  The states at
 a cut are the pieces that could hold the character before it; a chunk's transfer
 matrix has the best path from each state at its left end to each at its right.
-Max-plus products of these, which are associative, tell the state at every cut,
-and each chunk is then traced by itself.
+Max-plus products of these, which are associative, are taken by blocks of chunks,
+then over the blocks, then inside each block again, which tells the state at every
+cut, and each chunk is then traced by itself.
 
 No piece has a space after another character, so BPE never merges across such a
 place: between the first and the last of them a chunk is the library's to encode.
@@ -29,8 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, texts
 
+#: The vocabulary of the registered query.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK = 32_768, 16_384
+#: Chunks of a block, of which the matrices are multiplied in one task.
+BLOCK = 64
 NONE = -math.inf
 
 
@@ -183,9 +187,18 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(1, initial=NONE)
 
 
-def best_states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each cut, both ends included, on the best path."""
-    left, right = [np.zeros((1, 1))], [np.zeros((1, 1))]
+def whole(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of neighbouring chunks' matrices, paired as in a tree."""
+    while len(matrices) > 1:
+        matrices = [product(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def best_states(matrices: list[np.ndarray], enter: int = 0, leave: int = 0) -> list[int]:
+    """The state at each cut, both ends included, on the best path between the states at the ends."""
+    start, end = np.full((1, matrices[0].shape[0]), NONE), np.full((matrices[-1].shape[1], 1), NONE)
+    start[0, enter] = end[leave, 0] = 0
+    left, right = [start], [end]
     for m in matrices:
         left.append(product(left[-1], m))
     for m in reversed(matrices):
@@ -248,9 +261,28 @@ def _matrices(model: str):
     return run
 
 
+def _each(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.array(w).reshape(n, -1) for n, w in zip(rows["ins"], rows["weights"])]
+
+
+def _products(rows: pd.DataFrame) -> pd.DataFrame:
+    """The matrix of each block of neighbouring chunks."""
+    rows = rows.sort_values("chunk")
+    m = whole(_each(rows))
+    return pd.DataFrame({"row": rows["row"].iloc[:1], "block": rows["block"].iloc[:1], "ins": [m.shape[0]], "weights": [m.ravel().tolist()]})
+
+
+def _ends(rows: pd.DataFrame) -> pd.DataFrame:
+    """The states between a document's blocks."""
+    rows = rows.sort_values("block")
+    at = best_states(_each(rows))
+    return pd.DataFrame({"row": rows["row"], "block": rows["block"], "begin": at[:-1], "end": at[1:]})
+
+
 def _scan(rows: pd.DataFrame) -> pd.DataFrame:
+    """The states between a block's chunks, from those at its ends."""
     rows = rows.sort_values("chunk")
-    at = best_states([np.array(w).reshape(n, -1) for n, w in zip(rows["ins"], rows["weights"])])
+    at = best_states(_each(rows), int(rows["begin"].iloc[0]), int(rows["end"].iloc[0]))
     return pd.DataFrame({"row": rows["row"], "chunk": rows["chunk"], "enter": at[:-1], "leave": at[1:]})
 
 
@@ -264,10 +296,12 @@ def _traces(model: str):
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT) -> DataFrame:
+def encode(docs: DataFrame, model: str, giant: int = GIANT) -> DataFrame:
     """(doc_id, n_tokens, ids), one row a row of ``docs``: the ids that the library gives.
 
-    Texts of more than ``giant`` characters are scanned in chunks.  Null and empty
+    ``model`` is the path of the vocabulary file, which every worker must have.  Texts of
+    more than ``giant`` characters are scanned in chunks; paths of equal weight do not
+    occur, as only one segmentation agrees at every pair.  Null and empty
     texts have no ids; rows with a null doc_id and repeated rows are encoded like all
     others; an empty table gives no rows; columns other than doc_id and text are ignored.
     """
@@ -277,7 +311,10 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT) -> DataFrame
     chunks = table(large.select("row", "text").mapInArrow(_cuts(model), _CUT), "chunks")
     # rows of one file would be one task's: chunks spread over all
     chunks = chunks.repartition(F.col("row"), F.col("chunk"))
-    at = chunks.mapInArrow(_matrices(model), "row long, chunk int, ins int, weights array<double>").groupBy("row").applyInPandas(_scan, "row long, chunk int, enter int, leave int")
+    held = table(chunks.mapInArrow(_matrices(model), "row long, chunk int, ins int, weights array<double>").withColumn("block", F.floor(F.col("chunk") / BLOCK).cast("int")), "matrices")
+    blocks = held.groupBy("row", "block").applyInPandas(_products, "row long, block int, ins int, weights array<double>")
+    ends = blocks.groupBy("row").applyInPandas(_ends, "row long, block int, begin int, end int")
+    at = held.join(ends, ["row", "block"]).groupBy("row", "block").applyInPandas(_scan, "row long, chunk int, enter int, leave int")
     traced = chunks.join(at, ["row", "chunk"]).select("row", "chunk", "text", "lo", "hi", "first", "last", "enter", "leave")
     traced = traced.mapInArrow(_traces(model), "row long, chunk int, ids array<int>")
     whole = traced.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
@@ -285,8 +322,9 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT) -> DataFrame
     return small.unionByName(whole)
 
 
-def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, text) of rows that hold ids; null and empty lists give empty texts."""
+def decode(encoded: DataFrame, model: str) -> DataFrame:
+    """(doc_id, text) of rows that hold ids, row for row; null and empty lists give empty texts,
+    null ids and repeated rows stay, an empty table stays empty, other columns are ignored."""
 
     def run(batches):
         p = pieces(model)
@@ -300,7 +338,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of all documents, and the text that these give again."""
-    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), MODEL)
 
     def run(batches):
         p = pieces(MODEL)
