@@ -113,7 +113,7 @@ def pack(docs: DataFrame, capacity: int = 2048) -> DataFrame:
     (stretch, sequence) names a packed sequence; begin is the piece's place in it, in
     words.  Documents follow the curve, ties in key by doc_id (null first); stretches
     begin where the words before, along the whole curve, pass multiples of
-    512 * capacity, so the result doesn't depend on how the data are partitioned.
+    512 * capacity (a word-less document counts as one there), so the result doesn't depend on how the data are partitioned.
     Documents longer than a sequence are cut into pieces.  Null, empty and word-less
     texts take one piece of no words; repeated rows are packed as often as they come;
     an empty table gives no rows; columns other than doc_id and text are ignored.
@@ -123,9 +123,10 @@ def pack(docs: DataFrame, capacity: int = 2048) -> DataFrame:
     ranged = keys.repartitionByRange("curve_key", "doc_id").select("*", F.spark_partition_id().alias("part"))
     ranged = cut(ranged)
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("part").agg(F.sum("n_words").alias("total")).select("part", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("offset"))
+    size = F.greatest("n_words", F.lit(1))
+    totals = ranged.groupBy("part").agg(F.sum(size).alias("total")).select("part", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("offset"))
     inner = Window.partitionBy("part").orderBy("curve_key", "doc_id", "n_words").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("inside", F.coalesce(F.sum("n_words").over(inner), F.lit(0))).join(F.broadcast(totals), "part")
+    placed = ranged.withColumn("inside", F.coalesce(F.sum(size).over(inner), F.lit(0))).join(F.broadcast(totals), "part")
     placed = placed.select("doc_id", "curve_key", "n_words", (F.col("offset") + F.col("inside")).alias("before"))
     placed = placed.withColumn("stretch", F.floor(F.col("before") / (STRETCH * capacity)).cast("long"))
     return placed.groupBy("stretch").applyInPandas(_fill(capacity), "doc_id long, piece long, stretch long, sequence long, begin long, n_words long, curve_key long")

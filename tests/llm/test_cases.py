@@ -16,7 +16,7 @@ def crf(docs):
     return line_crf.classify(docs, line_crf.train(docs, spark.createDataFrame([(1, 1, 0), (8, 0, 0), (None, 1, 0), (5, None, None)], LABELS)))
 
 
-PER_ROW = {"1": crf, "4": bloom_lm.score, "6": sentencepiece_scan.encode, "7": sharding.assign, "8": quality_rules.quality}
+PER_ROW = {"1": crf, "4": bloom_lm.score, "6": lambda docs: sentencepiece_scan.encode(docs, sentencepiece_scan.MODEL), "7": sharding.assign, "8": quality_rules.quality}
 OTHERS = {"2": packing.pack, "5": jaccard_join.near_duplicate_groups, "9": pii.find_pii, "10": suffix_dedup.repeated_passages}
 
 
@@ -63,9 +63,9 @@ def test_passages_with_other_kinds_of_n_chars(spark):
 
 def test_decode_hard_rows(spark):
     rows = spark.createDataFrame([(1, None), (2, []), (None, []), (3, [1, 2]), (3, [1, 2])], "doc_id long, ids array<int>")
-    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in sentencepiece_scan.decode(rows).collect())
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in sentencepiece_scan.decode(rows, sentencepiece_scan.MODEL).collect())
     assert [i for i, _ in got] == [-1, 1, 2, 3, 3] and [t for _, t in got][:3] == ["", "", ""]
-    assert sentencepiece_scan.decode(rows.limit(0)).collect() == []
+    assert sentencepiece_scan.decode(rows.limit(0), sentencepiece_scan.MODEL).collect() == []
 
 
 def test_wordless_quality_is_zero(hard):

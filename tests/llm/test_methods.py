@@ -293,7 +293,7 @@ def test_packing_against_brute_force(spark):
     want, at, stretches = [], 0, {}
     for k, i, n in keys:
         stretches.setdefault(at // (packing.STRETCH * 256), []).append((k, i, n))
-        at += n
+        at += max(n, 1)
     for s, rows in stretches.items():
         row, piece, seq, begin = packing.next_fit(np.array([n for _, _, n in rows]), 256)
         want += [(rows[r][1], int(p), s, int(q), int(b)) for r, p, q, b in zip(row, piece, seq, begin)]
@@ -419,13 +419,42 @@ def test_product_is_associative():
     assert np.allclose(m(m(a, b), c), m(a, m(b, c)))
 
 
+def test_blocks_of_chunks_give_the_same_states():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 9):
+        sizes = [1, *r.integers(1, 4, n - 1).tolist(), 1]
+        ms = [np.where(r.random((a, b)) < 0.2, -math.inf, r.normal(size=(a, b))) for a, b in itertools.pairwise(sizes)]
+        best, path = max((sum(m[p[i], p[i + 1]] for i, m in enumerate(ms)), p) for p in itertools.product(*map(range, sizes)))
+        if best == -math.inf:
+            continue
+        assert sentencepiece_scan.best_states(ms) == list(path)
+        blocks = [ms[i : i + 2] for i in range(0, n, 2)]
+        ends = sentencepiece_scan.best_states([sentencepiece_scan.whole(b) for b in blocks])
+        inner = [sentencepiece_scan.best_states(b, x, y) for b, x, y in zip(blocks, ends, ends[1:])]
+        assert [inner[0][0], *(s for i in inner for s in i[1:])] == list(path)
+
+
+def test_projection_and_cells_by_hand():
+    """Signs of single bits, summed over words and divided by the root of their number; cells by the logistic curve."""
+    h, first = np.array([0b0001, 0b0011, 0b1111], np.uint64), np.array([0, 2, 2, 3])
+    v = packing.project(h, first)
+    assert np.allclose(v, [[2 / math.sqrt(2), 0, -2 / math.sqrt(2), -2 / math.sqrt(2)], [0, 0, 0, 0], [1, 1, 1, 1]])
+    assert packing.cells(np.array([[0.0, 1e9, -1e9, 4.0]])).tolist() == [[2**14, 2**15 - 1 - 18, 18, int(2**15 / (1 + math.exp(-1)))]]
+
+
+def test_wordless_documents_fill_stretches(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 2)
+    rows = packing.pack(make(spark, [(i, "") for i in range(100)]), capacity=10).collect()
+    assert collections.Counter(r.stretch for r in rows) == {s: 20 for s in range(5)}
+
+
 def test_encoding_round_trip(spark):
     r = random.Random(6)
     rows = [(1, "Hello  world"), (2, prose(r, 9000, 3000)), (3, "é世\U0001f600 \n" * 9000), (4, "ab" * 20_000), (5, " ")]
-    e = sentencepiece_scan.encode(make(spark, rows))
+    e = sentencepiece_scan.encode(make(spark, rows), sentencepiece_scan.MODEL)
     p = sentencepiece_scan.pieces(sentencepiece_scan.MODEL)
     assert {x.doc_id: x.ids for x in e.collect()} == {i: p.whole.encode(t) for i, t in rows}
-    assert {x.doc_id: x.text for x in sentencepiece_scan.decode(e).collect()} == {i: p.whole.decode(p.whole.encode(t)) for i, t in rows}
+    assert {x.doc_id: x.text for x in sentencepiece_scan.decode(e, sentencepiece_scan.MODEL).collect()} == {i: p.whole.decode(p.whole.encode(t)) for i, t in rows}
 
 
 def test_placement_is_the_heuristic():
