@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querna import constants as K
-from querna.functions import analysis, fuzzy, geo, nlp, ranking
+from querna.functions import analysis, fuzzy, geo, nlp, projection, ranking
 from querna.functions.porter import stem_tokens
 from querna.operators import index as I
 from querna.operators import monitor, schema, search, suggest, textsearch, vector
@@ -455,9 +455,12 @@ def q_quick_rank(spark, d):
     return businesses(spark, d).select("document_id", _r(ranking.quick_score(F.lower(c("name")), "Customer#000000010", c("health"), c("is_verified"), c("is_featured"))).alias("score"))
 
 
-@_query(f"select document_id, 1.0::double as text, 0.0::double as semantic, 0.5::double as location, 0.1::double as freshness, 0.0::double as popularity, round(health, 6) as health, cast(rating as double) as rating from {_BIZ}")
+@_query(f"select document_id, views / 250 as text, rating / 5::double as semantic, round(1 - (document_id % 100) / 100::double, 6) as location, round(greatest(0.1::double, 1 - (document_id % 400) / 365::double), 6) as freshness, round(0.4 * greatest(0, least(1, health / 100)) + 0.3 * least(1, rating / 5) + 0.1 * least(1, views / 1000) + case when is_verified then 0.2 else 0 end + case when is_featured then 0.15 else 0 end, 6)::double as popularity, round(health, 6) as health, cast(rating as double) as rating from {_BIZ}")
 def q_feature_vector(spark, d):
-    v = ranking.feature_vector(text=F.lit(1.0), location=F.lit(0.5), freshness=F.lit(0.1), health=_r(F.col("health")), rating=F.col("rating"))
+    c, as_of = F.col, F.lit("2024-01-01").cast("date")
+    near = geo.location_score((c("document_id") % 100) * 50.0, 5000.0)
+    old = ranking.signal_freshness(F.date_sub(as_of, (c("document_id") % 400).cast("int")), as_of)
+    v = ranking.feature_vector(text=c("views") / 250, semantic=c("rating") / 5, location=_r(near), freshness=_r(old), popularity=_r(ranking.popularity(c("health"), c("rating"), c("views"), c("is_verified"), c("is_featured"))), health=_r(c("health")), rating=c("rating"))
     return businesses(spark, d).select("document_id", v.alias("v")).select("document_id", "v.*")
 
 
@@ -481,23 +484,41 @@ def q_rrf_three_lists(spark, d):
     return ranking.fuse(lists).withColumn("rrf", _r(F.col("rrf"), 10))
 
 
-@_query(f"""with k as (select document_id, row_number() over (order by price desc, document_id) as r from {_PARTS} where contains(name, 'ring')), s as (select vec_id as document_id, row_number() over (order by label desc, vec_id) as r from embeddings)
+_COS = "list_dot_product(e.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])))"
+
+
+@_query(f"""with k as (select document_id, row_number() over (order by price desc, document_id) as r from {_PARTS} where contains(name, 'ring')),
+s as (select vec_id as document_id, row_number() over (order by round(sim, 9) desc, vec_id) as r from (select e.vec_id, {_COS} as sim from embeddings e, (select embedding from embeddings where vec_id = 0) q))
 select document_id, round(0.6 / (60 + k.r) + coalesce(0.4 / (60 + s.r), 0), 10) as score from k left join s using (document_id)""")
 def q_hybrid_rrf(spark, d):
     kw = parts(spark, d).where(F.col("name").contains("ring")).select("document_id", F.col("price").alias("score"))
-    sem = _t(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), F.col("label").alias("score"))
+    e = _t(spark, d, "embeddings")
+    first = e.where("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
+    sem = e.crossJoin(F.broadcast(first)).select(F.col("vec_id").alias("document_id"), F.round(vector.cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
     return vector.hybrid(kw, sem).withColumn("score", _r(F.col("score"), 10))
 
 
-_COS = "list_dot_product(e.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])))"
+@_query(f"select vec_id, round(similarity, 6) as similarity from (select e.vec_id, {_COS} as similarity from embeddings e, (select embedding from embeddings where vec_id = 0) q) where similarity >= 0.2 order by similarity desc, vec_id limit 10")
+def q_cosine_topk(spark, d):
+    e = _t(spark, d, "embeddings")
+    q = e.where("vec_id = 0").first()["embedding"]
+    return vector.semantic_search(e, q, 0.2).select("vec_id", _r(F.col("similarity")).alias("similarity"))
+
+
+@_query(f"select vec_id, round(similarity, 6) as similarity, round(100 * similarity, 4) as score from (select e.vec_id, {_COS} as similarity from embeddings e, (select embedding from embeddings where vec_id = 0) q) where similarity >= 0.7 order by similarity desc, vec_id limit 10")
+def q_semantic_search(spark, d):
+    """At the threshold of the live search."""
+    e = _t(spark, d, "embeddings")
+    x = vector.semantic_search(e, e.where("vec_id = 0").first()["embedding"])
+    return x.select("vec_id", _r(F.col("similarity")).alias("similarity"), _r(F.col("score"), 4).alias("score"))
 
 
 @_query(f"select vec_id, round(similarity, 6) as similarity from (select e.vec_id, {_COS} as similarity from embeddings e, (select embedding from embeddings where vec_id = 0) q) where similarity >= 0.2 order by similarity desc, vec_id limit 10")
-def q_cosine_topk(spark, d):
+def q_inverted_lists(spark, d):
+    """All lists probed, which is exact; tests measure the recall of fewer."""
     e = _t(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    sim = e.crossJoin(F.broadcast(q)).select("vec_id", vector.cosine(F.col("embedding"), F.col("q")).alias("similarity"))  # one row
-    return sim.where("similarity >= 0.2").orderBy(F.desc("similarity"), "vec_id").limit(10).withColumn("similarity", _r(F.col("similarity")))
+    lists = vector.inverted_lists(e, 20)
+    return vector.probe(lists, e.where("vec_id = 0").first()["embedding"], 20, 0.2).select("vec_id", _r(F.col("similarity")).alias("similarity"))
 
 
 @_query("select label, count(*) as vectors, avg(len(embedding)) as avg_dimensions from embeddings group by 1")
@@ -757,14 +778,12 @@ def q_coverage_percent(spark, d):
 
 @_query("select c_mktsegment, c_custkey, c_name from (select *, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as n from customer) where n = 1")
 def q_distinct_on(spark, d):
-    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return _t(spark, d, "customer").withColumn("n", F.row_number().over(w)).where("n = 1").select("c_mktsegment", "c_custkey", "c_name")
+    return store.first_per(_t(spark, d, "customer"), ["c_mktsegment"], [F.desc("c_acctbal"), F.asc("c_custkey")]).select("c_mktsegment", "c_custkey", "c_name")
 
 
 @_query("select conv_id, string_agg(role, ' ' order by turn) as roles from conversations group by 1")
 def q_string_agg(spark, d):
-    pairs = F.sort_array(F.collect_list(F.struct("turn", "role")))
-    return _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(pairs, lambda x: x["role"]), " ").alias("roles"))
+    return store.joined(_t(spark, d, "conversations"), ["conv_id"], "role", "turn").withColumnRenamed("role", "roles")
 
 
 @_query("select event_type, count(*) as queries, round(avg(value), 6) as avg_took, round(100.0 * count(*) filter (value > 30) / count(*), 6) as slow_percent, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, max(value) as max_took from events group by 1")
@@ -916,13 +935,13 @@ def q_active_documents(spark, d):
 
 @_query("select event_id, cast(json_extract(props, '$.k') as bigint) as k, event_type || ':' || json_extract_string(props, '$.k') as label from events")
 def q_json_projection(spark, d):
-    v = F.parse_json("props")
-    return _t(spark, d, "events").select("event_id", F.variant_get(v, "$.k", "bigint").alias("k"), F.concat_ws(":", "event_type", F.variant_get(v, "$.k", "string")).alias("label"))
+    x = projection.json_columns(_t(spark, d, "events"), "props", {"k": ("k", "bigint"), "text": ("k", "string")})
+    return x.select("event_id", "k", F.concat_ws(":", "event_type", "text").alias("label"))
 
 
 @_query("select event_id, case when ts > timestamp '2024-01-20 00:00:00' - interval 24 hours then case when value > 30 then 'slow today' else 'today' end when value > 30 then 'slow' else 'old' end as state from events")
 def q_admin_case(spark, d):
-    new = F.col("ts") > F.lit("2024-01-20 00:00:00").cast("timestamp") - F.expr("INTERVAL 24 HOURS")
+    new = projection.within_hours(F.col("ts"), F.lit("2024-01-20 00:00:00").cast("timestamp"), 24)
     return _t(spark, d, "events").select("event_id", F.when(new, F.when(F.col("value") > 30, "slow today").otherwise("today")).when(F.col("value") > 30, "slow").otherwise("old").alias("state"))
 
 
@@ -1046,20 +1065,17 @@ def q_merge_suggestions(spark, d):
 @_query(f"select document_id, lower(coalesce(nullif(case when size % 4 = 0 then null else name end, ''), category_name, '')) as label from {_PARTS}")
 def q_alternative_field(spark, d):
     name = F.when(F.col("size") % 4 != 0, F.col("name"))
-    return parts(spark, d).select("document_id", F.lower(F.coalesce(F.nullif(name, F.lit("")), F.col("category_name"), F.lit(""))).alias("label"))
+    return parts(spark, d).select("document_id", projection.alternative(name, F.col("category_name")).alias("label"))
 
 
 @_query(f"select document_id, name, lower(name) as name_lower, lower(category_name) as category_lower, price > 950 as is_active from {_PARTS}")
 def q_materialized_columns(spark, d):
-    return parts(spark, d).select("document_id", "name", F.lower("name").alias("name_lower"), F.lower("category_name").alias("category_lower"), (F.col("price") > 950).alias("is_active"))
+    return projection.materialised(parts(spark, d), flags={"is_active": F.col("price") > 950}).select("document_id", "name", "name_lower", "category_lower", "is_active")
 
 
 @_query(f"select term, source, total_frequency from (select term, 'exact' as source, total_frequency, 1.0 as s from {_TERMS} where term = 'ring' union all select term, 'similar', total_frequency, {_sim(chr(39) + 'ring' + chr(39), 'term')} from {_TERMS} where term <> 'ring' and {_sim(chr(39) + 'ring' + chr(39), 'term')} > 0.3)")
 def q_exact_or_similar(spark, d):
-    t = terms(spark, d)
-    exact = t.where("term = 'ring'").withColumn("source", F.lit("exact"))
-    near = t.where((F.col("term") != "ring") & (fuzzy.similarity(F.lit("ring"), F.col("term")) > K.TRIGRAM_THRESHOLD)).withColumn("source", F.lit("similar"))
-    return exact.unionByName(near).select("term", "source", "total_frequency")
+    return suggest.exact_or_similar(terms(spark, d), "ring").select("term", "source", "total_frequency")
 
 
 @_query(f"select ft as field_type, count(*) as terms, cast(sum(total_frequency) as bigint) as frequency, max(length(term)) as longest from (select unnest(field_types) as ft, term, total_frequency from {_TERMS}) group by 1")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from querna import constants as K
 from querna.catalogue import _BIZ, _PARTS, _POST, _TERMS, _bm25_sql, _chars, _corr, _h, _query, _r, _sim, _std, _t, _tok, _wsim, businesses, parts, terms
-from querna.functions import analysis, ranking
-from querna.operators import dictionary, monitor, search, stored, suggest
+from querna.functions import analysis, fuzzy, projection, ranking
+from querna.operators import dictionary, monitor, schema, search, stored, suggest
+from querna.operators import index as I
 from querna.plans import predicates as P
 from querna.session import shared_folder
 from querna.sources import store
@@ -227,8 +228,6 @@ def q_dotted_path(spark, d):
 @_query(f"select document_id, name, tf, n as length from (select document_id, name, len({_tok('name')}) as n, len(list_distinct({_tok('name')})) as tf from {_PARTS} where size <= 50)")
 def q_keyword_ignore_above(spark, d):
     """Long keyword values have no posting; the others are one term, beside the analysed field."""
-    from querna.operators import index as I
-
     p = parts(spark, d).where("size <= 50")
     n = I.postings(p, FIELDS, keyword=("category_name",), ignore_above=3).groupBy("document_id").agg(F.count("*").alias("tf"), F.max("field_length").cast("long").alias("length"))
     return p.join(n, "document_id").select("document_id", "name", "tf", "length")
@@ -273,3 +272,48 @@ def q_embedding_store(spark, d):
     e = _t(spark, d, "embeddings").select("vec_id", "embedding")
     new = e.where("vec_id % 10 = 0").withColumn("embedding", F.transform("embedding", lambda x: F.lit(0).cast("float")))
     return store.upsert(e, new, ["vec_id"], [])
+
+
+@_query(f"select document_id as id, 'parts' as index, case when size > 25 then price else 1.0::double end as score, name from {_PARTS}")
+def q_envelope(spark, d):
+    p = parts(spark, d).withColumn("score", F.when(F.col("size") > 25, F.col("price").cast("double")))
+    return projection.envelope(p, "parts").select("id", "index", "score", "source.name")
+
+
+@_query(f"""with x as (select document_id, w, label from (select document_id, unnest({_tok('name')}) as w, 'A' as label from {_PARTS} union all select document_id, unnest({_tok('category_name')}), 'B' from {_PARTS}) where length(w) >= 2),
+m as (select document_id, w, min(label) as label from x group by 1, 2), a as (select document_id, list(w || '/' || label order by w) as lexemes from m group by 1)
+select document_id, coalesce(lexemes, []) as lexemes, len({_tok('name')}) as name_length, case when size > 10 then 2.0::double else 1.0::double end as boost_factor from {_PARTS} left join a using (document_id)""")
+def q_processed_business(spark, d):
+    x = I.processed(parts(spark, d), {"name": "A", "category_name": "B"}, F.when(F.col("size") > 10, 2.0))
+    lexemes = F.transform("lexemes", lambda s: F.concat_ws("/", s["term"], s["label"]))
+    return x.select("document_id", lexemes.alias("lexemes"), F.col("field_lengths")["name"].cast("long").alias("name_length"), "boost_factor")
+
+
+@_query(f"""with t as (select 'name' as field, unnest(string_split_regex(lower(name), '[^a-z0-9]+')) as term from {_PARTS} union all select 'tags', unnest(string_split_regex(lower(category_name), '[^a-z0-9]+')) from {_PARTS})
+select field, term, count(*) as frequency from t where length(term) >= 3 and regexp_matches(term, '^[a-z]') and not regexp_matches(term, '[0-9]{{3}}') group by 1, 2""")
+def q_field_terms(spark, d):
+    """A string field and an array field."""
+    p = parts(spark, d).select("name", F.split("category_name", " ").alias("tags"))
+    return suggest.field_terms(p, ["name", "tags"])
+
+
+@_query("select name, count(*) as versions, max(version) as newest from (select distinct p_brand as name, p_size as version from part where not (p_brand = 'Brand#4' or (p_brand = 'Brand#17' and p_size = 1))) group by 1")
+def q_schema_versions(spark, d):
+    v = _t(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_size").alias("version")).distinct()
+    return schema.listed(schema.deleted(schema.deleted(v, "Brand#4"), "Brand#17", 1))
+
+
+@_query("select c_custkey, 'customers' as name, 3 as version from customer")
+def q_schema_stamp(spark, d):
+    return schema.stamp(_t(spark, d, "customer"), "customers", 3).select("c_custkey", "_schema.*")
+
+
+@_query(f"select term, {_sim(chr(39) + 'bolts' + chr(39), 'term')} >= 0.1 and levenshtein('bolts', term) <= 5 and abs(length(term) - 5) <= 3 as relevant from {_TERMS}")
+def q_is_relevant(spark, d):
+    return terms(spark, d).select("term", fuzzy.is_relevant(F.lit("bolts"), F.col("term")).alias("relevant"))
+
+
+@_query("select event_type, pending, per_minute, round(case when per_minute > 0 then pending / per_minute end, 6) as minutes from (select event_type, count(*) filter (value <= 30) as pending, count(*) filter (value > 30) / 60 as per_minute from events group by 1)")
+def q_eta(spark, d):
+    e = _t(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") <= 30).alias("pending"), (F.count_if(F.col("value") > 30) / 60).alias("per_minute"))
+    return e.withColumn("minutes", _r(monitor.eta(F.col("pending"), F.col("per_minute"))))

@@ -48,9 +48,17 @@ def locations(q: Column) -> Column:
     return F.array_compact(F.array(*[F.when(low.contains(n), F.lit(n)) for n in sorted(K.GAZETTEER)]))
 
 
-def expansion(q: Column) -> Column:
+def synonyms(extra: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+    """The synonym table, with further words of a caller's own."""
+    out = {k: list(v) for k, v in K.SYNONYMS.items()}
+    for k, v in (extra or {}).items():
+        out[k] = list(dict.fromkeys([*out.get(k, []), *v]))
+    return out
+
+
+def expansion(q: Column, extra: dict[str, list[str]] | None = None) -> Column:
     """The query's words, two synonyms of its first type and one of its first service, each once."""
-    syn = F.create_map(*[x for k, v in sorted(K.SYNONYMS.items()) for x in (F.lit(k), _strings(v))])
+    syn = F.create_map(*[x for k, v in sorted(synonyms(extra).items()) for x in (F.lit(k), _strings(v))])
     none = F.array().cast("array<string>")
     two = F.slice(F.coalesce(F.try_element_at(syn, F.get(business_types(q), 0)), none), 1, 2)
     one = F.slice(F.coalesce(F.try_element_at(syn, F.get(services(q), 0)), none), 1, 1)

@@ -85,7 +85,14 @@ def stem(w: str) -> str:
 
 @pandas_udf(ArrayType(StringType()))
 def _stems(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: None if t is None else [stem(x) for x in t])
+    known: dict[str, str] = {}  # a batch's distinct words are stemmed once
+
+    def one(x: str) -> str:
+        if x not in known:
+            known[x] = stem(x)
+        return known[x]
+
+    return tokens.map(lambda t: None if t is None else [one(x) for x in t])
 
 
 def stem_tokens(t: Column) -> Column:

@@ -169,6 +169,16 @@ def weighted_lexemes(docs: DataFrame, weights: dict[str, str], key: str = "docum
     return p.select(key, clean_token(F.col("term")).alias("term"), label.alias("label")).where("term is not null").groupBy(key, "term").agg(F.min("label").alias("label"))
 
 
+def processed(docs: DataFrame, weights: dict[str, str], boost: Column | None = None, key: str = "document_id") -> DataFrame:
+    """(key, lexemes, field_lengths, boost_factor), one row a document: what a document is stored with (TXT-35)."""
+    names = list(weights)
+    lengths = F.create_map(*[x for f in names for x in (F.lit(f), F.size(analyzed(F.coalesce(F.col(f).cast("string"), F.lit("")))))])
+    lexemes = weighted_lexemes(docs, weights, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "label"))).alias("lexemes"))
+    rows = docs.select(key, lengths.alias("field_lengths"), (F.lit(1.0) if boost is None else F.coalesce(boost.cast("double"), F.lit(1.0))).alias("boost_factor"))
+    none = F.array().cast("array<struct<term:string,label:string>>")
+    return rows.join(lexemes, key, "left").select(key, F.coalesce("lexemes", none).alias("lexemes"), "field_lengths", "boost_factor")
+
+
 def cover_density(positions: DataFrame, terms: list[str], key: str = "document_id") -> DataFrame:
     """(key, score): each shortest extent that covers all terms adds 1 / its length in words."""
     w = Window.partitionBy(key).orderBy("pos")

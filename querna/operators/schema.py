@@ -64,6 +64,17 @@ def latest(versions: DataFrame) -> DataFrame:
     return versions.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def listed(versions: DataFrame) -> DataFrame:
+    """(name, versions, newest) of all schemas."""
+    return versions.groupBy("name").agg(F.count("*").alias("versions"), F.max("version").alias("newest"))
+
+
+def deleted(versions: DataFrame, name: str, version: int | None = None) -> DataFrame:
+    """Without a schema, or without one version of it."""
+    gone = F.col("name") == name
+    return versions.where(~(gone if version is None else gone & (F.col("version") == version)))
+
+
 def register(versions: DataFrame, name: str, body: str) -> DataFrame:
     row = versions.where(F.col("name") == name).agg(F.coalesce(F.max("version") + 1, F.lit(1)).cast("int").alias("version"))
     return versions.unionByName(row.select(F.lit(name).alias("name"), "version", F.lit(body).alias("schema")))

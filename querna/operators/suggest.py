@@ -21,6 +21,26 @@ def search_terms(docs: DataFrame, whole: list[str], split: list[str] = [], least
     return t.where(F.col("total_frequency") >= least).withColumn("trigrams", F.sort_array(fuzzy.trigrams(F.col("term"))))
 
 
+def field_terms(docs: DataFrame, fields: list[str], n: int = 10_000) -> DataFrame:
+    """(field, term, frequency): words of string and array fields, of three letters or more, that begin with a letter
+    and hold no run of three digits; the n most frequent of each field (FUZ-17)."""
+    kinds = dict(docs.dtypes)
+    text = lambda f: F.array_join(F.col(f), " ") if kinds[f].startswith("array") else F.col(f).cast("string")
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.split(F.lower(text(f)), r"[^a-z0-9]+").alias("ws")) for f in fields]))
+    t = docs.select(pairs.alias("x")).select("x.field", F.explode("x.ws").alias("term"))
+    t = t.where((F.length("term") >= 3) & F.col("term").rlike("^[a-z]") & ~F.col("term").rlike("[0-9]{3}"))
+    counted = t.groupBy("field", "term").agg(F.count("*").alias("frequency"))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("frequency"), "term"))
+    return counted.withColumn("place", rank).where(F.col("place") <= n).drop("place")
+
+
+def exact_or_similar(terms: DataFrame, q: str, threshold: float = K.TRIGRAM_THRESHOLD) -> DataFrame:
+    """The term itself, then those alike, with where they come from (FUZ-39)."""
+    exact = terms.where(F.col("term") == q).withColumn("source", F.lit("exact"))
+    near = terms.where((F.col("term") != q) & (fuzzy.similarity(F.lit(q), F.col("term")) > threshold)).withColumn("source", F.lit("similar"))
+    return exact.unionByName(near)
+
+
 def dictionary_stats(terms: DataFrame, n: int = 10) -> DataFrame:
     top = F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("total_frequency")).alias("f"), "term"))), 1, n), lambda x: x["term"])
     # the heap of the best n a partition, not a list of all terms

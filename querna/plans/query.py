@@ -60,6 +60,11 @@ def normalize(s: str) -> str:
     return re.sub(r"\s+", " ", s.lower()).strip()
 
 
+def normalize_live(s: str | None) -> str:
+    """White space as one blank, wildcards and case kept; nothing asks for everything."""
+    return re.sub(r"\s+", " ", s or "").strip() or "*"
+
+
 def strip_boost(field: str) -> tuple[str, float]:
     name, _, boost = field.partition("^")
     return name, float(boost) if boost else 1.0

@@ -46,6 +46,18 @@ def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return log.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each key in the given order."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def joined(df: DataFrame, keys: list[str], value: str, order: str, separator: str = " ") -> DataFrame:
+    """(keys, value): a group's values in order, as one text."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda x: x["v"]), separator).alias(value))
+
+
 def delete(docs: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     return docs.join(ids.select(*keys).distinct(), keys, "left_anti")
 

@@ -177,3 +177,26 @@ def test_every_query_but_stemming_has_sql():
 
 def test_labels_weigh_as_published():
     assert [K.LABEL_WEIGHTS[x] for x in "DCBA"] == [0.1, 0.2, 0.4, 1.0] and stored.label_weight("unknown") == 0.1
+
+
+def test_few_lists_find_most(spark):
+    import numpy as np
+
+    from querna.operators import vector
+
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(20, 8)) * 3
+    x = np.concatenate([c + r.normal(size=(40, 8)) for c in centres])
+    lists = vector.inverted_lists(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 20)
+    unit, hit = x / np.sqrt((x * x).sum(1, keepdims=True)), []
+    for i in range(0, 800, 80):
+        best = set(np.argsort(-(unit @ unit[i]), kind="stable")[:10].tolist())
+        hit.append(len(best & {r.vec_id for r in vector.probe(lists, x[i].tolist(), 5, -1.0).collect()}) / 10)
+    assert np.mean(hit) >= 0.9
+
+
+def test_live_normalisation_and_own_synonyms():
+    from querna.functions import nlp
+
+    assert [Q.normalize_live(s) for s in ("  A   b* ", " ", None)] == ["A b*", "*", "*"]
+    assert nlp.synonyms({"bank": ["till", "bank"], "new": ["fresh"]})["new"] == ["fresh"] and "till" in nlp.synonyms({"bank": ["till"]})["bank"]
