@@ -32,12 +32,14 @@ KINDS = ["email", "phone", "ip", "card", "ssn", "iban", "key", "secret"]
 ANCHOR = re.compile(r"[\d@=:]|(?<![\w+/-])[\w+/-]{16,}")
 #: No match begins further before its first anchor, nor has white space further behind its last one.
 REACH = 96
+#: Every match holds two colons at least.
+IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?:(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9A-Fa-f]{1,4}|:)(?![\w:])|(?<![\w:])[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])")
 GENERATORS = [
     ("email", re.compile(r"[\w.+%-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})*")),
     ("phone", re.compile(r"(?<![\w.])\+?\(?\d(?:[ ().-]{0,2}\d){6,14}(?!\w)")),
     ("phone", re.compile(r"(?<![\w.])\+?(?:\d{1,3}[ .-])?\(?\d{2,4}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)")),
     ("ip", re.compile(r"(?<!\w)\d{1,3}(?:\.\d{1,3}){3,}(?!\w)")),
-    ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?:(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9A-Fa-f]{1,4}|:)(?![\w:])|(?<![\w:])[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])")),
+    ("ip", IPV6),
     ("card", re.compile(r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)")),
     ("card", re.compile(r"(?<!\w)\d{13,19}(?!\w)")),
     ("card", re.compile(r"(?<!\w)\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\w)")),
@@ -84,7 +86,10 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         else:
             windows.append([lo, hi])
     for lo, hi in windows:
+        colons = text.count(":", lo, hi)
         for kind, pattern in GENERATORS:
+            if pattern is IPV6 and colons < 2:
+                continue
             out.update((kind, m.start(), m.end()) for m in pattern.finditer(text, lo, min(hi, len(text))))
     if "PRIVATE KEY-----" in text:
         for kind, pattern in BLOCKS:
