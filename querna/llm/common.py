@@ -3,6 +3,7 @@ lineage cuts that survive lost executors, and Arrow slicing of long texts."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ from querna.session import reach_workers
 
 #: Bytes of text that one numpy step handles at a time (working memory is some 40 times this).
 SLICE_BYTES = 1 << 20
+#: Tables of this session that are still there.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,15 +50,30 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    _written.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes what ``table`` wrote, once nothing reads it any more."""
     for t in tables:
-        jvm = t.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(t.written_at)
-        at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(t.sparkSession, t.written_at)
+
+
+@contextlib.contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, when their results have been written elsewhere."""
+    before = set(_written)
+    yield
+    for path in [p for p in _written if p not in before]:
+        _delete(spark, path)
 
 
 def document_id() -> Column:
