@@ -116,15 +116,26 @@ def test_buckets_of_many_blocks(spark, monkeypatch):
     assert got == jaccard_groups(texts, jaccard_join.N, jaccard_join.THRESHOLD)
 
 
-def test_cells_are_counted_by_neighbouring_bands():
+def test_cells_are_counted_by_neighbouring_bands(monkeypatch):
     """A cell counts once for each class that shares it with another of its band or the next one."""
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
     owners = [(5 << 6) | 1, (6 << 6) | 2, (7 << 6) | 9, (8 << 6) | 4, (8 << 6) | 4]
     keys = {0: [0, 1], 1: [0, 2], 2: [3, 4], 3: [0, 0], 4: [1, 2, 3]}
     k = np.array([c for c, x in keys.items() for _ in x], np.uint32)
     o = np.array([owners[i] for x in keys.values() for i in x], np.int64)
-    t = pa.table({"keys": pa.array([k.tobytes()], pa.binary()), "owners": pa.array([o.tobytes()], pa.binary())})
-    got = dict(zip(*(c.to_pylist() for c in jaccard_join._agreed(t).columns)))
-    assert got == {owners[0]: 1, owners[1]: 1}
+    t = pa.table({"part": pa.array([3]), "keys": pa.array([k.tobytes()], pa.binary()), "owners": pa.array([o.tobytes()], pa.binary())})
+    rows = list(zip(*(c.to_pylist() for c in jaccard_join._agreed(t).columns)))
+    assert {c: n for hot, c, n in rows if not hot} == {owners[0]: 1, owners[1]: 1}
+    assert {c: n for hot, c, n in rows if hot} == {(3 << 32) | 4: 3}
+
+
+def test_hot_cells_go_last():
+    tokens = np.arange(1, 11, dtype=np.uint64)
+    m = textops.mix(tokens)
+    cell = ((m >> np.uint64(32)) * np.uint64(7) >> np.uint64(32) << np.uint64(32)) | (m & np.uint64(0xFFFFFFFF))
+    hot = np.sort(cell[:4])
+    got = jaccard_join.first_cells(tokens, 0.6, 7, (hot, np.arange(20, 24)))
+    assert got.tolist() == sorted(m[4:].tolist())[:5] and len(got) == 10 - 6 + 1
 
 
 def test_repeated_ids_of_other_texts_are_not_lost(spark):
