@@ -129,6 +129,15 @@ def test_cells_are_counted_by_neighbouring_bands(monkeypatch):
     assert {c: n for hot, c, n in rows if hot} == {(3 << 32) | 4: 3}
 
 
+def test_the_hottest_cells_are_bounded(spark, monkeypatch):
+    cells = spark.createDataFrame([(i, 16 << (i % 5)) for i in range(-50, 50)], "class long, agreed long")
+    for most, least in ((100, 16), (99, 32), (60, 64), (19, 1 << 20)):
+        monkeypatch.setattr(jaccard_join, "FREQUENT", most)
+        cell, many = jaccard_join._hottest(cells)
+        want = sorted((i % 2**64, 16 << (i % 5)) for i in range(-50, 50) if 16 << (i % 5) >= least)
+        assert list(zip(cell.tolist(), many.tolist())) == want
+
+
 def test_hot_cells_go_last():
     tokens = np.arange(1, 11, dtype=np.uint64)
     m = textops.mix(tokens)
