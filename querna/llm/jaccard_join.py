@@ -14,6 +14,10 @@ one partner could do without and one more, so that two sets that are linked agre
 on one at least.  Pairs whose sketches are too far apart are dropped (which loses
 nothing) and what is left is verified on the full sets.
 
+That tells the connected components, and every link lies within one.  The links are
+then counted there: the sets of a component come together, by blocks where it is
+large, and each pair of them is compared.
+
 Documents of one token set are one class and stand in the join once.
 """
 
@@ -43,6 +47,8 @@ BRIEF = ("s1", "s2", "s3", "s4")
 N, THRESHOLD = 3, 0.6
 #: Cells that a map task combines, cells of a reducer's group, members of a bucket's block.
 COMBINE, PART_CELLS, BLOCK = 1_000_000, 2_000_000, 2_048
+#: Sets and tokens of a block of a component, of which links are counted.
+LINK_SETS, LINK_TOKENS = 1_024, 2_000_000
 #: Cells of so many classes are hot; so many of them at most, the hottest, are known to all tasks (16 bytes each).
 HOT, FREQUENT = 16, 131_072
 #: The low bits of a class, which hold its size band.
@@ -101,14 +107,22 @@ def _rows(b: pa.RecordBatch, most: int = 60_000) -> Iterator[pa.RecordBatch]:
         yield b.slice(at, most)
 
 
+def shared_cells(key: np.ndarray, rows: int) -> np.ndarray:
+    """Tokens of each text beyond one a cell, whatever the number of parts: so many fewer cells may two texts agree on than tokens."""
+    cell = np.sort((key & ~TOKEN) | (T.mix(key & TOKEN) & np.uint64(0xFFFFFFFF)))
+    return np.bincount((cell[1:][cell[1:] == cell[:-1]] >> np.uint64(48)).astype(np.int64), minlength=rows)
+
+
 def _classes(n: int, bands: np.ndarray):
-    """(doc_id, class, size) of texts that have words."""
+    """(doc_id, class, size, spare) of texts that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in slices(batches):
             for b in _rows(whole):
-                size, code, _ = _sums(_token_keys(b, n), b.num_rows, bands)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code), pa.array(size, pa.int64())], ["doc_id", "class", "size"]).filter(pa.array(size > 0))
+                key = _token_keys(b, n)
+                size, code, _ = _sums(key, b.num_rows, bands)
+                cols = [b.column(0), pa.array(code), pa.array(size, pa.int64()), pa.array(shared_cells(key, b.num_rows), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "class", "size", "spare"]).filter(pa.array(size > 0))
 
     return run
 
@@ -298,6 +312,73 @@ def _verify(threshold: float):
     return run
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Tokens that each two of the sets have in common."""
+    k, owner = len(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    tok = np.concatenate(sets)
+    order = np.argsort(tok, kind="stable")
+    tok, owner = tok[order], owner[order]
+    start = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+    many = np.diff(np.append(start, len(tok)))
+    owner, many = owner[np.repeat(many > 1, many)], many[many > 1]
+    column, step = np.repeat(np.arange(len(many)), many), max(1, (1 << 22) // k)
+    out = np.zeros((k, k), np.int64)
+    for at in range(0, len(many), step):
+        lo, hi = np.searchsorted(column, [at, at + step])
+        m = np.zeros((k, min(step, len(many) - at)), np.float32)  # exact: sums below 2 ** 24
+        m[owner[lo:hi], column[lo:hi] - at] = 1
+        out += (m @ m.T).astype(np.int64)
+    return out
+
+
+def _links(threshold: float):
+    """(class, n_links) within each pair of blocks of a component."""
+
+    def run(t: pa.Table) -> pa.Table:
+        comp, p, q, block, code = (t.column(c).to_numpy() for c in ("comp", "p", "q", "block", "class"))
+        order = np.lexsort((code, block, q, p, comp))
+        t, comp, p, q, block, code = t.take(pa.array(order)), comp[order], p[order], q[order], block[order], code[order]
+        begin = np.flatnonzero(np.append(True, (comp[1:] != comp[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+        tokens, links = t.column("tokens"), np.zeros(len(code), np.int64)
+        for s, e in zip(begin, np.append(begin[1:], len(code))):
+            sets = [_set(tokens[i]) for i in range(s, e)]
+            size, both = np.array([len(x) for x in sets]), _shared(sets)
+            linked = both / (size[:, None] + size[None, :] - both) >= threshold - 1e-12
+            if p[s] == q[s]:
+                np.fill_diagonal(linked, False)
+            else:  # pairs within a block are counted where it meets itself
+                linked &= block[s:e, None] != block[None, s:e]
+            links[s:e] = linked.sum(1)
+        return pa.table({"class": pa.array(code), "n_links": pa.array(links)})
+
+    return run
+
+
+def _count_links(found: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
+    """(class, n_links): the other classes that each class of the components ``found`` is linked with.
+
+    Blocks are stretches of a component's classes by size, so that those of too unlike sizes need not meet."""
+    sizes = found.select(F.col("node").alias("class"), "comp").join(kept.select("class", "size"), "class")
+    by_size = Window.partitionBy("comp").orderBy("size", "class")
+    block = F.floor((F.row_number().over(by_size) - 1) / LINK_SETS) + F.floor(F.sum("size").over(by_size.rowsBetween(Window.unboundedPreceding, 0)) / LINK_TOKENS)
+    placed = cut(sizes.select("class", "comp", "size", block.alias("block"), F.count("*").over(Window.partitionBy("comp")).alias("many")))
+    pairs = placed.where("many = 2").select("class", F.lit(1).cast("long").alias("n_links"))
+    placed = placed.where("many > 2")
+    blocks = placed.groupBy("comp", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.sum("size").alias("tokens"))
+    whole = Window.partitionBy("comp")
+    blocks = cut(blocks.withColumn("single", F.count("*").over(whole) == 1))
+    total = blocks.where("single").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    x, y = blocks.alias("x"), blocks.alias("y")
+    meet = x.join(y, (F.col("x.comp") == F.col("y.comp")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.hi") >= threshold * F.col("y.lo") - 1e-9))
+    # components of one block share groups; which rows come in one group changes nothing else
+    work = F.when(F.col("x.single"), F.pmod(F.xxhash64("x.comp"), F.lit(max(12, math.ceil(total / LINK_TOKENS))))).otherwise(F.xxhash64("x.comp", "x.block", "y.block"))
+    meet = meet.select(F.col("x.comp").alias("comp"), F.col("x.block").alias("p"), F.col("y.block").alias("q"), work.alias("work"))
+    meet = meet.select("*", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    rows = placed.select("class", "comp", "block").join(meet, ["comp", "block"]).join(kept.select("class", "tokens"), "class")
+    counted = rows.select("work", "comp", "p", "q", "block", "class", "tokens").groupBy("work").applyInArrow(_links(threshold), "class long, n_links long")
+    return cut(pairs.unionByName(counted.groupBy("class").agg(F.sum("n_links").alias("n_links"))))
+
+
 def _check(pairs: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
     """The pairs of classes that reach the threshold: sizes and sketches first, then sets."""
 
@@ -331,16 +412,17 @@ def _hottest(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 KEPT = f"class long, size long, {', '.join(f'{s} long' for s in BRIEF)}, sketch binary, tokens binary"
 
 
-def linked_classes(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, class), (class, rep, comp)): token sets by their hash, and those linked with others.
+def linked_classes(docs: DataFrame, n: int, threshold: float, links: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, class), (class, rep, comp)): token sets by their hash, and those linked with others;
+    with ``links`` also n_links, the number of other classes that each is linked with.
 
     A bucket is first verified against its least member; only members that this leaves
     in different components are then paired with each other, so groups of thousands
     cost in proportion to their size, not to its square.
     """
     docs, bands = texts(docs).where("doc_id is not null"), size_bands(threshold)
-    sets = table(docs.mapInArrow(_classes(n, bands), "doc_id long, class long, size long"), "sets")
-    classes = table(sets.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size")), "classes")
+    sets = table(docs.mapInArrow(_classes(n, bands), "doc_id long, class long, size long, spare long"), "sets")
+    classes = table(sets.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("spare").alias("spare")), "classes")
     total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     blocks = "part long, keys binary, owners binary"
     counted = max(12, math.ceil(total / PART_CELLS))
@@ -348,7 +430,7 @@ def linked_classes(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame
     agreed = cells.groupBy("part").applyInArrow(_agreed, "hot boolean, class long, agreed long").groupBy("hot", "class").agg(F.sum("agreed").alias("agreed"))
     agreed = table(agreed, "agreed")
     hot = _hottest(agreed.where("hot"))
-    asked = agreed.where("not hot").join(classes, "class").where(F.col("agreed") >= F.ceil(threshold * F.col("size") - 1e-9))
+    asked = agreed.where("not hot").join(classes, "class").where(F.col("agreed") >= F.ceil(threshold * F.col("size") - 1e-9) - F.col("spare"))
     asked = cut(asked.select(F.col("rep").alias("doc_id"), F.col("class").alias("asked"), "size"))
     count, total = asked.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     wanted = asked.select("doc_id", "asked")
@@ -377,9 +459,13 @@ def linked_classes(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame
     drop(met)
     more = _check(second, kept, threshold).select("a", "b")
     found = cut(components(edges.unionByName(more)))
+    counts = _count_links(found, kept, threshold) if links else None
     drop(kept)
     linked = classes.select("class", "rep").join(found.select(F.col("node").alias("class"), "comp"), "class", "left")
-    return sets.select("doc_id", "class"), linked.select("class", "rep", F.coalesce("comp", "class").alias("comp"))
+    linked = linked.select("class", "rep", F.coalesce("comp", "class").alias("comp"))
+    if links:
+        linked = linked.join(counts, "class", "left").fillna(0, ["n_links"])
+    return sets.select("doc_id", "class"), linked
 
 
 def _on_text(run):
@@ -392,8 +478,8 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, threshold: float = THRESH
 
     Documents of one set of word n-grams are a class, named by its least doc_id; classes
     of Jaccard >= threshold are linked; a group is a connected component, named by its
-    least doc_id, and n_links is the number of other classes in it, so of texts that the
-    document is linked with directly or by a chain.  Documents without a row have no link.
+    least doc_id, and n_links is the number of other classes that the document's own is linked
+    with, each pair of a group being compared.  Documents without a row have no link.
 
     Null or word-less texts pair with nothing; a text of fewer than n words is one
     token; rows with a null doc_id are left out; of rows that repeat a doc_id those of
@@ -401,10 +487,10 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, threshold: float = THRESH
     Pairs exactly at the threshold are linked.  Texts of any length are compared whole.
     Empty tables give no rows.  Other columns are ignored.
     """
-    held, linked = linked_classes(docs, n, threshold)
+    held, linked = linked_classes(docs, n, threshold, links=True)
     held = held.distinct()
     copies = held.groupBy("class").count().where("count > 1").select("class", F.lit(True).alias("copied"))
-    group = linked.groupBy("comp").agg(F.min("rep").alias("group_id"), (F.count("*") - 1).alias("n_links"))
+    group = linked.groupBy("comp").agg(F.min("rep").alias("group_id"))
     named = linked.join(group, "comp").join(copies, "class", "left").where("n_links > 0 or copied")
     return held.join(named, "class").select("doc_id", "group_id", F.col("rep").alias("class_id"), "n_links")
 
@@ -460,8 +546,9 @@ s as (select doc_id, count(*) as n from t group by 1),
 p as (select x.doc_id as a, y.doc_id as b, count(*) as i from t x join t y using (w) where x.doc_id < y.doc_id group by 1, 2),
 e as (select a, b, i = sa.n and i = sb.n as same from p join s sa on sa.doc_id = a join s sb on sb.doc_id = b where i >= {THRESHOLD} * (sa.n + sb.n - i) - 1e-9),
 k as (select s.doc_id, coalesce(min(a), s.doc_id) as class_id from s left join e on b = s.doc_id and same group by s.doc_id),
-u as (select a, b from e union all select b, a from e),
+u as (select a, b, same from e union all select b, a, same from e),
 c(node, comp) as (select a, a from u union select u.b, c.comp from c join u on u.a = c.node),
-g as (select node as doc_id, min(comp) as group_id from c group by 1)
-select doc_id, group_id, class_id, n_links from g join k using (doc_id) join (select group_id, count(distinct class_id) - 1 as n_links from g join k using (doc_id) group by 1) using (group_id)
+g as (select node as doc_id, min(comp) as group_id from c group by 1),
+l as (select a as doc_id, count(distinct class_id) as n from u join k on k.doc_id = b where not same group by 1)
+select doc_id, group_id, class_id, coalesce(n, 0) as n_links from g join k using (doc_id) left join l using (doc_id)
 """

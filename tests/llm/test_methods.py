@@ -61,7 +61,7 @@ def jaccard_groups(texts: dict, n: int, t: float) -> dict:
         w = re.findall(r"[^\x00-\x20]+", x or "")
         if w:
             sets[i] = frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1)))
-    comp = {i: i for i in sets}
+    comp, links = {i: i for i in sets}, collections.defaultdict(set)
 
     def find(i):
         while comp[i] != i:
@@ -72,13 +72,15 @@ def jaccard_groups(texts: dict, n: int, t: float) -> dict:
         if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-9:
             a, b = sorted((find(i), find(j)))
             comp[b] = a
+            links[sets[i]].add(sets[j])
+            links[sets[j]].add(sets[i])
     classes = {}
     for i in sorted(sets):
         classes.setdefault(sets[i], i)
     groups = collections.defaultdict(list)
     for i in sets:
         groups[find(i)].append(i)
-    return {i: (g, classes[sets[i]], len({sets[j] for j in ids}) - 1) for g, ids in groups.items() if len(ids) > 1 for i in ids}
+    return {i: (g, classes[sets[i]], len(links[sets[i]] - {sets[i]})) for g, ids in groups.items() if len(ids) > 1 for i in ids}
 
 
 @pytest.mark.parametrize("n, threshold", [(1, 0.7), (3, 0.6), (4, 0.8)])
@@ -116,6 +118,37 @@ def test_buckets_of_many_blocks(spark, monkeypatch):
     assert got == jaccard_groups(texts, jaccard_join.N, jaccard_join.THRESHOLD)
 
 
+def test_links_are_counted_within_groups(spark, monkeypatch):
+    """A chain's ends are one link each, not one with every text of the group; blocks count as the whole does."""
+    words = [f"c{k}" for k in range(400)]
+    texts = {i: " ".join(words[i * 20 : i * 20 + 102]) for i in range(12)}  # neighbours share 80 of 120 tokens
+    r = random.Random(12)
+    texts |= {100 + i: " ".join([w if r.random() > 0.07 else f"v{r.randrange(10**6)}" for w in words[300 : 380 + i]]) for i in range(20)}
+    texts |= {200: texts[0], 201: "two words", 202: "two words"}
+    want = jaccard_groups(texts, jaccard_join.N, jaccard_join.THRESHOLD)
+    assert want[0] == (0, 0, 1) and want[1] == (0, 1, 2) and want[200] == (0, 0, 1) and want[202] == (201, 201, 0)
+    for sets, tokens in ((1024, 2_000_000), (3, 2_000_000), (1024, 250)):
+        monkeypatch.setattr(jaccard_join, "LINK_SETS", sets)
+        monkeypatch.setattr(jaccard_join, "LINK_TOKENS", tokens)
+        got = {x.doc_id: (x.group_id, x.class_id, x.n_links) for x in jaccard_join.near_duplicate_groups(make(spark, list(texts.items()))).collect()}
+        assert got == want
+
+
+def test_tokens_of_one_cell_lose_no_link(spark):
+    """Two words of a text that fall into one cell agree but once; the link at the threshold stays."""
+    words = [f"w{k}" for k in range(700_000)]
+    key = jaccard_join._token_keys(pa.RecordBatch.from_arrays([pa.array([0]), pa.array([" ".join(words)])], ["doc_id", "text"]), 1)
+    h = textops.word_hashes(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]))[0]
+    m = textops.mix(textops.gram_hashes(h, 1) >> np.uint64(16))
+    assert set(m.tolist()) == set(textops.mix(key & jaccard_join.TOKEN).tolist())
+    cell = ((m >> np.uint64(32)) * np.uint64(12) >> np.uint64(32) << np.uint64(32)) | (m & np.uint64(0xFFFFFFFF))
+    order = np.argsort(cell)
+    u, v = (words[order[np.flatnonzero(cell[order][1:] == cell[order][:-1])[0] + d]] for d in (0, 1))
+    texts = {1: f"{u} {v} x", 2: f"{u} {v} x y z"}
+    got = sorted(tuple(x) for x in jaccard_join.near_duplicate_groups(make(spark, list(texts.items())), 1, 0.6).collect())
+    assert got == [(1, 1, 1, 1), (2, 1, 2, 1)]
+
+
 def test_cells_are_counted_by_neighbouring_bands(monkeypatch):
     """A cell counts once for each class that shares it with another of its band or the next one."""
     monkeypatch.setattr(jaccard_join, "HOT", 3)
