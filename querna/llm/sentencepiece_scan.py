@@ -322,6 +322,12 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT) -> DataFrame:
     return small.unionByName(whole)
 
 
+def id_lists(a: pa.Array) -> list[list[int]]:
+    """The lists of a list array, null ones empty.  Its own to_pylist makes an Arrow scalar of each number first."""
+    o, v, valid = a.offsets.to_numpy(), a.values.to_numpy(), a.is_valid().to_pylist()
+    return [v[s:e].tolist() if ok else [] for s, e, ok in zip(o, o[1:], valid)]
+
+
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) of rows that hold ids, row for row; null and empty lists give empty texts,
     null ids and repeated rows stay, an empty table stays empty, other columns are ignored."""
@@ -331,7 +337,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 x = b.slice(s, 256)
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array([p.whole.decode(i or []) for i in x.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array([p.whole.decode(i) for i in id_lists(x.column(1))], pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
@@ -345,6 +351,6 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 x = b.slice(s, 256)
-                yield pa.RecordBatch.from_arrays([*x.columns, pa.array([p.whole.decode(i or []) for i in x.column(2).to_pylist()], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array([p.whole.decode(i) for i in id_lists(x.column(2))], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
