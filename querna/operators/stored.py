@@ -4,9 +4,9 @@ Layout of an index folder: ``generation=<n>/postings/bucket=<b>`` with rows sort
 term, ``generation=<n>/documents`` with the length of every field of every document,
 and ``generation=<n>/fields`` with the fields' statistics, which is written last: a
 generation without it isn't complete and isn't read.  A bucket is crc32(term) modulo the number of buckets, so a reader
-knows the folders of its terms without reading anything; a bucket's rows are spread
-over several files by document, so a term that a third of all documents hold is never
-one task's.
+knows the folders of its terms without reading anything.  Postings are written where they are made: a task sorts
+those of its own documents and adds a file to each bucket, so nothing is shuffled, no task holds more than its share of
+the documents, and a term that a third of all documents hold is never one task's.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from querna import constants as K
 from querna.operators import index as I
 
-#: Postings that a bucket holds about, and that one of its files does.
-BUCKET_POSTINGS, FILE_POSTINGS = 20_000_000, 4_000_000
+#: Postings that a bucket holds about, up to so many buckets; more would be files in the square of the documents.
+BUCKET_POSTINGS, MOST_BUCKETS = 20_000_000, 64
 #: Documents a block of a serialised posting list, on average.
 LIST_BLOCK = 1_000
 
@@ -51,19 +51,18 @@ def _at(spark: SparkSession, path: str) -> str:
     return f"{path}/generation={have[-1]}"
 
 
-def _write(spark: SparkSession, path: str, postings: DataFrame, lengths: DataFrame, buckets: int | None, postings_estimate: int) -> None:
+def _write(spark: SparkSession, path: str, postings: DataFrame, lengths: DataFrame, buckets: int | None = None) -> None:
     """A new generation; older ones but the last are deleted."""
     have = generations(spark, path)
-    buckets = buckets or max(1, math.ceil(postings_estimate / BUCKET_POSTINGS))
-    files = max(1, math.ceil(min(postings_estimate, BUCKET_POSTINGS) / FILE_POSTINGS))
     at = f"{path}/generation={have[-1] + 1 if have else 0}"
-    key = lengths.columns[0]
-    p = postings.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int"))
-    p = p.repartition(buckets * files, F.col("bucket"), F.pmod(F.xxhash64(key), F.lit(files))).sortWithinPartitions("bucket", "term", "field")
-    p.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
     lengths.write.mode("overwrite").parquet(f"{at}/documents")
-    stats = I.field_stats(spark.read.parquet(f"{at}/documents")).withColumn("buckets", F.lit(buckets))
-    stats.coalesce(1).write.mode("overwrite").parquet(f"{at}/fields")
+    stats = I.field_stats(spark.read.parquet(f"{at}/documents"))
+    if not buckets:
+        tokens = stats.agg(F.sum("total_length")).first()[0] or 0
+        buckets = min(MOST_BUCKETS, max(1, math.ceil(tokens / BUCKET_POSTINGS)))
+    p = postings.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int"))
+    p.sortWithinPartitions("bucket", "term", "field").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
+    stats.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{at}/fields")
     fs, _ = _fs(spark, path)
     for old in have[:-1]:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={old}"), True)
@@ -71,9 +70,7 @@ def _write(spark: SparkSession, path: str, postings: DataFrame, lengths: DataFra
 
 def build(docs: DataFrame, path: str, fields: list[str], key: str = "document_id", buckets: int | None = None) -> None:
     """Indexes all documents anew (IDX-09, IDX-11); ``buckets`` follow from the number of tokens where not given."""
-    lengths = I.doc_lengths(docs, fields, key)
-    tokens = lengths.agg(F.sum("field_length")).first()[0] or 0
-    _write(docs.sparkSession, path, I.postings(docs, fields, key, positions=True), lengths, buckets, tokens)
+    _write(docs.sparkSession, path, I.postings(docs, fields, key, positions=True), I.doc_lengths(docs, fields, key), buckets)
 
 
 rebuild = build
@@ -132,7 +129,7 @@ def remove(spark: SparkSession, path: str, ids: DataFrame, key: str = "document_
     """Drops documents from postings and statistics (IDX-02, IDX-10); a term without postings is gone."""
     gone = ids.select(key).distinct()
     kept, left = read(spark, path).join(gone, key, "left_anti"), lengths(spark, path).join(gone, key, "left_anti")
-    _write(spark, path, kept, left, None, left.agg(F.sum("field_length")).first()[0] or 0)
+    _write(spark, path, kept, left)
 
 
 def upsert(docs: DataFrame, path: str, fields: list[str], key: str = "document_id") -> None:
@@ -141,7 +138,7 @@ def upsert(docs: DataFrame, path: str, fields: list[str], key: str = "document_i
     gone = docs.select(key).distinct()
     left = lengths(spark, path).join(gone, key, "left_anti").unionByName(I.doc_lengths(docs, fields, key))
     kept = read(spark, path).join(gone, key, "left_anti").unionByName(I.postings(docs, fields, key, positions=True))
-    _write(spark, path, kept, left, None, left.agg(F.sum("field_length")).first()[0] or 0)
+    _write(spark, path, kept, left)
 
 
 def set_frequency(p: DataFrame, changes: DataFrame, key: str = "document_id") -> DataFrame:

@@ -65,6 +65,23 @@ def test_index_changes_make_new_generations(spark, docs, tmp_path):
     assert stored.has_term(spark, at, "ring") and not stored.has_term(spark, at, "green")
 
 
+def test_no_task_holds_more_of_an_index_than_its_own_documents(spark, tmp_path):
+    """However few the buckets."""
+    at = f"file://{tmp_path}/index"
+    d = spark.range(0, 2400, 1, 24).selectExpr("id as document_id", "concat('all same w', id) as name")
+    stored.build(d, at, ["name"], buckets=1)
+    files = stored.read(spark, at).groupBy(F.input_file_name()).count()
+    assert files.agg(F.max("count")).first()[0] == 300 and stored.read(spark, at, ["same"]).count() == 2400
+
+
+def test_buckets_are_bounded(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "BUCKET_POSTINGS", 1)
+    monkeypatch.setattr(stored, "MOST_BUCKETS", 5)
+    at = f"file://{tmp_path}/index"
+    stored.build(docs, at, ["name"])  # 7 tokens
+    assert stored.field_statistics(spark, at).first()["buckets"] == 5 and stored.has_term(spark, at, "ring")
+
+
 @pytest.mark.parametrize("words, want", [(["red", "ring"], {1: [0]}), (["ring", "ring"], {6: [1]}), (["ring", "red", "red"], {}), (["none"], {})])
 def test_phrases_from_positions(spark, docs, tmp_path, words, want):
     at = f"file://{tmp_path}/index"
